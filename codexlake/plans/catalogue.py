@@ -5,10 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codexlake.operators import nearby
+from codexlake.runtime import table
+
+P1_RADIUS_KM = 2.0
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = table(spark, sf_dir, "entities").select("id", F.col("coords.lat").alias("lat"), F.col("coords.lng").alias("lng"))
+    return nearby.near_or_inside(places, table(spark, sf_dir, "map_zones"), P1_RADIUS_KM)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {"p1_found": p1_found}
 
 
 def oracle_sql() -> dict[str, str]:
