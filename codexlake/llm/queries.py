@@ -5,19 +5,65 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from codexlake.runtime import table
 
-from . import tokenize
+from . import cooccur, mixing, tokenize
+
+P5_MIN_TOGETHER, P5_SHARE_OF, P5_LIFT = 3, 400, 3
+
+
+def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, F.Column]:
+    return table(spark, sf_dir, "entity_topics"), "entity_id", F.lower(F.trim("topic"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cooccur.together(*_topics(spark, sf_dir), min_together=P5_MIN_TOGETHER, min_share_of=P5_SHARE_OF, min_lift=P5_LIFT)
+    return pairs.select(F.col("item_a").alias("topic_a"), F.col("item_b").alias("topic_b"))
+
+
+def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = cooccur.together(*_topics(spark, sf_dir))
+    return pairs.select(F.col("item_a").alias("topic_a"), F.col("item_b").alias("topic_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, sf_dir, "documents"))
 
 
+def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sizes = tokenize.encode_texts(table(spark, sf_dir, "documents"), counts_only=True, keep=("source",))
+    return mixing.mix(sizes, table(spark, sf_dir, "mix_targets"), id_col="doc_id", size_col="n_tokens")
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[0].withColumnsRenamed({"id": "doc_id", "size": "n_tokens"})
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p7_ids": p7_ids}
+    return {f.__name__: f for f in (p5_found, p5_pairs, p7_ids, p8_copies, p8_shares)}
+
+
+_TOPIC_COUNTS = """
+WITH t AS (SELECT DISTINCT entity_id, lower(trim(topic)) AS topic FROM entity_topics WHERE entity_id IS NOT NULL AND topic IS NOT NULL),
+     n AS (SELECT topic, count(*) AS n FROM t GROUP BY topic),
+     e AS (SELECT count(DISTINCT entity_id) AS n FROM t),
+     p AS (SELECT a.topic AS topic_a, b.topic AS topic_b, count(*) AS n_ab
+           FROM t a JOIN t b ON a.entity_id = b.entity_id AND a.topic < b.topic GROUP BY ALL)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p5_found": _TOPIC_COUNTS
+        + f"""SELECT p.topic_a, p.topic_b FROM p JOIN n a ON a.topic = p.topic_a JOIN n b ON b.topic = p.topic_b, e
+              WHERE n_ab >= {P5_MIN_TOGETHER} AND {P5_SHARE_OF} * n_ab >= e.n AND n_ab * e.n >= {P5_LIFT} * a.n * b.n""",
+        "p5_pairs": _TOPIC_COUNTS
+        + """SELECT p.topic_a, p.topic_b, a.n AS n_a, b.n AS n_b, n_ab, round(n_ab * e.n::DOUBLE / (a.n * b.n), 6) AS lift
+             FROM p JOIN n a ON a.topic = p.topic_a JOIN n b ON b.topic = p.topic_b, e""",
+    }
