@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 from codexlake.runtime import table
 
-from . import cooccur, mixing, tokenize
+from . import cooccur, knn, mixing, tokenize
 
+P3_NEIGHBOURS, P3_SIMILARITY = 5, 0.6
 P5_MIN_TOGETHER, P5_SHARE_OF, P5_LIFT = 3, 400, 3
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.nearest(table(spark, sf_dir, "entities"), P3_NEIGHBOURS, min_similarity=P3_SIMILARITY)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knn.pairs_of(p3_neighbours(spark, sf_dir))
+
+
 def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, F.Column]:
     return table(spark, sf_dir, "entity_topics"), "entity_id", F.lower(F.trim("topic"))
 
@@ -46,7 +55,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p5_found, p5_pairs, p7_ids, p8_copies, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p3_neighbours, p5_found, p5_pairs, p7_ids, p8_copies, p8_shares)}
 
 
 _TOPIC_COUNTS = """
