@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from codexlake.runtime import table
 
-from . import cooccur, knn, mixing, tokenize
+from . import cooccur, knn, mixing, neardup, tokenize
 
 P3_NEIGHBOURS, P3_SIMILARITY = 5, 0.6
 P5_MIN_TOGETHER, P5_SHARE_OF, P5_LIFT = 3, 400, 3
 
+P6_FIELDS, P6_WORDS, P6_SIMILARITY = ("narrative", "summary"), 3, 0.5
+
 
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(table(spark, sf_dir, "entities"), P3_NEIGHBOURS, min_similarity=P3_SIMILARITY)
@@ -37,6 +39,18 @@ def p5_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("item_a").alias("topic_a"), F.col("item_b").alias("topic_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
+def _copies(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return neardup.classes_and_links(table(spark, sf_dir, "entities"), "id", P6_FIELDS, words=P6_WORDS, threshold=P6_SIMILARITY)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs_of(*_copies(spark, sf_dir))
+
+
+def p6_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups_of(*_copies(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(table(spark, sf_dir, "documents"))
 
@@ -55,7 +69,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_neighbours, p5_found, p5_pairs, p7_ids, p8_copies, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p3_neighbours, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares)}
 
 
 _TOPIC_COUNTS = """
