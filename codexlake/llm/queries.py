@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codexlake.runtime import table
 
-from . import cooccur, knn, mixing, neardup, tokenize
+from . import cooccur, knn, mixing, neardup, spans, tokenize
 
 P3_NEIGHBOURS, P3_SIMILARITY = 5, 0.6
 P5_MIN_TOGETHER, P5_SHARE_OF, P5_LIFT = 3, 400, 3
@@ -68,8 +68,17 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return spans.shared_portion(documents, spans.shared_spans(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_neighbours, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares)}
+    return {f.__name__: f for f in (p3_found, p3_neighbours, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares, p9_found, p9_shared)}
 
 
 _TOPIC_COUNTS = """
