@@ -9,14 +9,27 @@ from pyspark.sql import functions as F
 
 from codexlake.runtime import table
 
-from . import cooccur, knn, mixing, neardup, spans, tokenize
+from . import cooccur, knn, mixing, neardup, spans, tokenize, truncation
 
+P2_FIELDS = ("narrative", "summary")
 P3_NEIGHBOURS, P3_SIMILARITY = 5, 0.6
 P5_MIN_TOGETHER, P5_SHARE_OF, P5_LIFT = 3, 400, 3
 
 P6_FIELDS, P6_WORDS, P6_SIMILARITY = ("narrative", "summary"), 3, 0.5
 
 
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_values(table(spark, sf_dir, "entities"), "id", P2_FIELDS, keep=("generator_model",))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).filter("is_cut").select("id", "field")
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.cut_shares(_judged(spark, sf_dir), ("generator_model", "field"))
+
+
 def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(table(spark, sf_dir, "entities"), P3_NEIGHBOURS, min_similarity=P3_SIMILARITY)
 
@@ -78,7 +91,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_neighbours, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_neighbours, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares, p9_found, p9_shared)}
 
 
 _TOPIC_COUNTS = """
