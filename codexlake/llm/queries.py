@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codexlake.runtime import table
 
-from . import cooccur, knn, mixing, neardup, spans, tokenize, truncation
+from . import cooccur, knn, matching, mixing, neardup, spans, tokenize, truncation
 
 P2_FIELDS = ("narrative", "summary")
 P3_NEIGHBOURS, P3_SIMILARITY = 5, 0.6
@@ -38,6 +38,16 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.pairs_of(p3_neighbours(spark, sf_dir))
 
 
+def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    citations = table(spark, sf_dir, "entity_claimed_citations").selectExpr("id AS citation_id", "claimed_source AS source", "claimed_author AS author")
+    works = table(spark, sf_dir, "bib_works").selectExpr("work_id", "title", "author_families AS families", "pub_year AS year")
+    return matching.match(citations, works)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_matches(spark, sf_dir).select("work_id", "citation_id").distinct()
+
+
 def _topics(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, str, F.Column]:
     return table(spark, sf_dir, "entity_topics"), "entity_id", F.lower(F.trim("topic"))
 
@@ -91,7 +101,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_neighbours, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares, p9_found, p9_shared)}
+    return {f.__name__: f for f in (p2_found, p2_shares, p3_found, p3_neighbours, p4_found, p4_matches, p5_found, p5_pairs, p6_found, p6_groups, p7_ids, p8_copies, p8_shares, p9_found, p9_shared)}
 
 
 _TOPIC_COUNTS = """
