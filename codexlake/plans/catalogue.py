@@ -7,20 +7,39 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexlake.corpus import Corpus
 from codexlake.operators import nearby
-from codexlake.runtime import table
+
+from . import listing, quality, searching  # noqa: F401  registers their queries
+from .registry import ORACLES, QUERIES, query
 
 P1_RADIUS_KM = 2.0
 
 
-def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = table(spark, sf_dir, "entities").select("id", F.col("coords.lat").alias("lat"), F.col("coords.lng").alias("lng"))
-    return nearby.near_or_inside(places, table(spark, sf_dir, "map_zones"), P1_RADIUS_KM)
+def _places(c: Corpus) -> DataFrame:
+    return c.entities.select("id", F.col("coords.lat").alias("lat"), F.col("coords.lng").alias("lng"))
+
+
+_PLACES = """p AS (SELECT id, coords.lat AS lat, CASE WHEN coords.lng > 180 THEN coords.lng - 360 ELSE coords.lng END AS lng FROM entities
+    WHERE coords.lat BETWEEN -90 AND 90 AND NOT isnan(coords.lat) AND isfinite(coords.lng) AND NOT (coords.lat = 0 AND coords.lng = 0))"""
+
+
+@query(
+    f"""WITH {_PLACES}, u AS (SELECT id, lat, lng, cos(radians(lat)) * cos(radians(lng)) AS x, cos(radians(lat)) * sin(radians(lng)) AS y, sin(radians(lat)) AS z FROM p),
+    e AS (SELECT zone_id, unnest(outline) AS a, unnest(outline[2:] || outline[:1]) AS b FROM map_zones),
+    t AS (SELECT id, lat, lng + turn AS lng FROM p, (SELECT unnest([-360, 0, 360]) AS turn))
+    SELECT a.id AS id_a, b.id AS id_b FROM u a JOIN u b ON a.id < b.id AND abs(a.z - b.z) < 0.001 AND abs(a.x - b.x) < 0.001
+      AND 2 * 6371.0088 * asin(least(1, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) / 2)) <= {P1_RADIUS_KM}
+    UNION SELECT id, zone_id FROM t JOIN e ON (e.a.lng > t.lng) <> (e.b.lng > t.lng) AND e.a.lat + (t.lng - e.a.lng) * (e.b.lat - e.a.lat) / (e.b.lng - e.a.lng) < t.lat
+      GROUP BY id, t.lng, zone_id HAVING count(*) % 2 = 1"""
+)
+def p1_found(c: Corpus) -> DataFrame:
+    return nearby.near_or_inside(_places(c), c.raw("map_zones"), P1_RADIUS_KM)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
