@@ -6,7 +6,7 @@ value in each array; vectors that fall into enough windows are verified by their
 found lie within the current radius, the windows widen (virtual rehashing) and the count is repeated.
 """
 
-from collections import Counter
+from bisect import insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -125,14 +125,16 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     held = k + 1
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pivots, copies = shared.value, Counter()
+        pivots, least = shared.value, {}
         for batch in batches:
             at, raw = vectors_of(batch.column("v"), dim)
             key = batch.column("h").to_numpy()[at]
             first = []
-            for i, h in enumerate(key.tolist()):
-                copies[h] += 1
-                if copies[h] <= held:
+            for i, (h, own) in enumerate(zip(key.tolist(), batch.column("id").take(pa.array(at)).to_pylist())):
+                kept = least.setdefault(h, [])
+                if own not in kept and (len(kept) < held or own < kept[-1]):
+                    insort(kept, own)
+                    del kept[held:]
                     first.append(i)
             at, raw, key = at[first], raw[first], key[first]
             if not len(at):
@@ -147,6 +149,8 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
         cell = pa.Table.from_batches(list(parts))
         ids, h, home = np.array(cell.column("id").to_pylist(), object), cell.column("h").to_numpy(), cell.column("home").to_numpy()
         raw = np.stack([np.frombuffer(v, np.float32) for v in cell.column("v").to_pylist()])
+        one_each = np.unique(np.array([f"{a}|{b}" for a, b in zip(h, ids)], object), return_index=True)[1]
+        ids, h, home, raw = ids[one_each], h[one_each], home[one_each], raw[one_each]
         order = np.lexsort((ids, h))
         place = np.arange(len(order)) - np.searchsorted(h[order], h[order], "left")
         kept = np.sort(order[place < held])
