@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexlake.functions.scoring import share
@@ -81,9 +81,16 @@ def windows_spend(runs: DataFrame, as_of: Column, statuses: tuple[str, ...] = ("
     )
 
 
+def answer_agreement(samples: DataFrame, key: str, answer: str) -> DataFrame:
+    """(key, n_samples, distinct_answers, majority_answer): answers compared without case, marks and outer spaces; of
+    equally frequent ones the smallest is the majority. Two aggregations, so that no key's answers are collected."""
+    plain = F.trim(F.regexp_replace(F.lower(answer), r"[^\p{L}\p{N}]+", " "))
+    each = samples.filter(F.col(answer).isNotNull()).groupBy(key, plain.alias("plain")).agg(F.count(F.lit(1)).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("less"), F.col("plain")))
+    return each.groupBy(key).agg(F.sum("n").alias("n_samples"), F.count(F.lit(1)).alias("distinct_answers"), best["plain"].alias("majority_answer"))
+
+
 def drained(queue: DataFrame, cost: str, budget: float, order: tuple[str, ...]) -> DataFrame:
     """Rows of a small queue, in order, while their running cost stays within the budget."""
-    from pyspark.sql import Window
-
     running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return queue.withColumn("running", F.sum(cost).over(running)).filter(F.col("running") <= budget)

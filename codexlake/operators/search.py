@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,10 +51,25 @@ def text_ranked(entities: DataFrame, query: str, limit: int = POOL) -> DataFrame
 
 
 def vector_ranked(entities: DataFrame, query: list[float], limit: int = POOL, dim: int = 1024) -> DataFrame:
-    """(id, distance): the entities with usable vectors closest by cosine distance, by an exact scan."""
-    asked = F.array(*(F.lit(float(x)) for x in query))
-    scored = entities.filter(vector.usable(F.col("embedding"), dim)).select("id", F.round(vector.cosine_distance(F.col("embedding"), asked), 6).alias("distance"))
-    return page(scored, ("distance", "id"), limit)
+    """(id, distance): the entities with usable vectors closest by cosine distance, by an exact scan.
+
+    Whole Arrow batches are multiplied at once, as array functions would go element by element; of each batch only rows
+    that can be among the closest leave the worker. A query without length is as far from everything.
+    """
+    asked = np.array(query, np.float64)
+    asked /= np.linalg.norm(asked) or 1.0
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, matrix = vector.matrix_of(batch.column("embedding"), dim)
+            far = 1 - (matrix @ asked) / np.linalg.norm(matrix, axis=1)
+            if len(far) > limit:
+                near = np.flatnonzero(far <= np.partition(far, limit - 1)[limit - 1] + 1e-6)
+                rows, far = rows[near], far[near]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(rows)), pa.array(far)], names=["id", "distance"])
+
+    scored = entities.select("id", F.col("embedding").cast("array<double>")).filter(F.size("embedding") == dim).mapInArrow(measure, "id string, distance double")
+    return page(scored.withColumn("distance", F.round("distance", 6)), ("distance", "id"), limit)
 
 
 def fused(entities: DataFrame, by_text: DataFrame, by_vector: DataFrame, limit: int) -> DataFrame:

@@ -142,6 +142,20 @@ def factuality(c: Corpus) -> DataFrame:
     return aggregates.factuality(c.claims).withColumn("factuality", F.round("factuality", 6))
 
 
+@query(
+    r"""WITH e AS (SELECT entity_id, trim(regexp_replace(lower(alias), '[^\p{L}\p{N}]+', ' ', 'g')) AS answer, count(*) AS n FROM entity_aliases GROUP BY ALL)
+        SELECT entity_id, sum(n)::BIGINT AS n_samples, count(*) AS distinct_answers, first(answer ORDER BY n DESC, answer) AS majority_answer FROM e GROUP BY 1"""
+)
+def answer_agreement(c: Corpus) -> DataFrame:
+    return aggregates.answer_agreement(c.aliases, "entity_id", "alias")
+
+
+@query("SELECT id, running::DOUBLE AS running FROM (SELECT id, sum(priority) OVER (ORDER BY priority DESC, id ROWS UNBOUNDED PRECEDING) AS running FROM seed_topics WHERE status = 'pending') WHERE running <= 60")
+def queue_within_budget(c: Corpus) -> DataFrame:
+    waiting = c.seeds.filter("status = 'pending'").select("id", F.col("priority").cast("double").alias("priority"), (-F.col("priority")).alias("order"))
+    return aggregates.drained(waiting, "priority", 60, ("order", "id")).select("id", "running")
+
+
 @query("SELECT count(*) AS n_entities, count(claim_factuality_score) AS n_scored, round(coalesce(avg(claim_factuality_score::DOUBLE), 0), 6) AS avg_factuality FROM entities")
 def scored_corpus_summary(c: Corpus) -> DataFrame:
     scored = F.col("claim_factuality_score").isNotNull()

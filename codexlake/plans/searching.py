@@ -76,6 +76,27 @@ def suggest_prefix_contains(c: Corpus) -> DataFrame:
     return stub(search.suggest(c.published, c.aliases, BEGINNING, fuzzy=False), "match")
 
 
-@query()
+FUZZY = "silvred barge"
+
+
+def _trigrams(text: str) -> str:
+    words = f"list_filter(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '')"
+    return f"flatten(list_transform({words}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substring('  ' || w || ' ', i, 3))))"
+
+
+def _similar(text: str) -> str:
+    held, asked = _trigrams(text), f"list_distinct({_trigrams(chr(39) + FUZZY + chr(39))})"
+    extent = "list_slice(h, i, j)"
+    score = f"len(list_intersect(q, {extent})) / len(list_distinct(list_concat(q, {extent})))::DOUBLE"
+    best = f"list_max(flatten(list_transform(range(1, len(h) + 1), lambda i: list_transform(range(i, len(h) + 1), lambda j: {score}))))"
+    return f"(SELECT coalesce({best}, 0) FROM (SELECT {asked} AS q, {held} AS h))"
+
+
+@query(
+    with_views("published")
+    + f""", a AS (SELECT entity_id, max(likeness) AS likeness FROM (SELECT entity_id, {_similar('alias')} AS likeness FROM entity_aliases) GROUP BY 1),
+       s AS (SELECT p.*, round(greatest({_similar('canonical_name')}, coalesce(a.likeness, 0)), 6) AS similarity FROM published p LEFT JOIN a ON a.entity_id = p.id)
+       SELECT {_STUB}, 0 AS match, similarity FROM s WHERE similarity > 0.4 ORDER BY similarity DESC, length(canonical_name), s.consensus_score DESC, id LIMIT 8"""
+)
 def suggest_trigram(c: Corpus) -> DataFrame:
-    return stub(search.suggest(c.published, c.aliases, "silver barge"), "match", "similarity")
+    return stub(search.suggest(c.published, c.aliases, FUZZY), "match", "similarity")
