@@ -30,12 +30,16 @@ def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(_judged(spark, sf_dir), ("generator_model", "field"))
 
 
-def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.nearest(table(spark, sf_dir, "entities"), P3_NEIGHBOURS, min_similarity=P3_SIMILARITY)
 
 
+def p3_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _neighbours(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knn.pairs_of(p3_neighbours(spark, sf_dir))
+    return knn.pairs_of(_neighbours(spark, sf_dir))
 
 
 def p4_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +101,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    return spans.shared_portion(documents, spans.shared_spans(documents))
+    return spans.shared_portion(documents, spans.shared_spans(documents)).withColumn("shared_share", F.round("shared_share", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -113,8 +117,41 @@ WITH t AS (SELECT DISTINCT entity_id, lower(trim(topic)) AS topic FROM entity_to
 """
 
 
+_NEAREST = f"""
+WITH v AS (SELECT id, embedding::DOUBLE[] AS e FROM entities WHERE len(embedding) = 1024
+           AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+     u AS (SELECT id, e, sqrt(list_dot_product(e, e)) AS n FROM v),
+     s AS (SELECT a.id, b.id AS neighbour, list_dot_product(a.e, b.e) / (a.n * b.n) AS similarity FROM u a JOIN u b ON a.id <> b.id),
+     r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS k FROM s WHERE similarity >= {P3_SIMILARITY})
+"""
+_SHINGLES = f"""
+WITH t AS (SELECT 'narrative' AS field, id, narrative AS text FROM entities UNION ALL SELECT 'summary', id, summary FROM entities),
+     w AS (SELECT field, id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+') AS w FROM t),
+     g AS (SELECT DISTINCT field, id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM w WHERE len(w) >= {P6_WORDS}),
+     n AS (SELECT field, id, count(*) AS n FROM g GROUP BY ALL),
+     p AS (SELECT a.field, a.id AS id_a, b.id AS id_b, count(*) AS n FROM g a JOIN g b ON a.field = b.field AND a.s = b.s AND a.id < b.id GROUP BY ALL)
+"""
+_SPANS = """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 120),
+     w AS (SELECT doc_id, i, hash(substring(text, (i + 1)::INT, 120)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 119)) AS i FROM d)),
+     shared AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+     r AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 120 THEN 0 ELSE 1 END AS fresh FROM w WHERE h IN (SELECT h FROM shared)),
+     k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS stretch FROM r),
+     spans AS (SELECT doc_id, min(i)::BIGINT AS span_start, (max(i) + 120)::BIGINT AS span_end FROM k GROUP BY doc_id, stretch)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p3_found": _NEAREST + f"SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM r WHERE k <= {P3_NEIGHBOURS}",
+        "p3_neighbours": _NEAREST + f"SELECT id, neighbour, round(similarity, 6) AS similarity FROM r WHERE k <= {P3_NEIGHBOURS}",
+        "p6_found": _SHINGLES + f"SELECT p.field, id_a, id_b FROM p JOIN n a ON a.field = p.field AND a.id = id_a JOIN n b ON b.field = p.field AND b.id = id_b WHERE p.n >= {P6_SIMILARITY} * (a.n + b.n - p.n)",
+        "p9_found": _SPANS + "SELECT * FROM spans",
+        "p9_shared": _SPANS
+        + """, s AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1)
+             SELECT d.doc_id, coalesce(length(d.text), 0)::BIGINT AS n_chars, coalesce(n_spans, 0) AS n_spans, coalesce(shared_chars, 0) AS shared_chars,
+                    CASE WHEN length(d.text) > 0 THEN round(coalesce(shared_chars, 0) / length(d.text)::DOUBLE, 6) ELSE 0.0 END AS shared_share
+             FROM documents d LEFT JOIN s ON s.doc_id = d.doc_id""",
         "p5_found": _TOPIC_COUNTS
         + f"""SELECT p.topic_a, p.topic_b FROM p JOIN n a ON a.topic = p.topic_a JOIN n b ON b.topic = p.topic_b, e
               WHERE n_ab >= {P5_MIN_TOGETHER} AND {P5_SHARE_OF} * n_ab >= e.n AND n_ab * e.n >= {P5_LIFT} * a.n * b.n""",
