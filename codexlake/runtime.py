@@ -37,6 +37,15 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table just read, dealt out by its key if its files give fewer partitions than the cluster has cores.
+
+    For tables of few files before work in Python; tables of many files pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
     """About `rows` of `total` rows, chosen by a hash of their key, so that the same rows give the same sample anywhere."""
     if total <= rows:
