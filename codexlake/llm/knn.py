@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.runtime import bounded_sample, parallelism
+from codexlake.runtime import bounded_sample, spread
 
 SAMPLE_VECTORS = 8_192
 MAX_PIVOTS = 16_384
@@ -115,7 +115,7 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    rows = rows.filter(F.size("v") == dim)
+    rows = spread(rows.filter(F.size("v") == dim), "id")
     total = rows.count()
     sample = bounded_sample(rows, "id", sample_vectors, total).select("v").toArrow().column("v").combine_chunks()
     sample = sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks)

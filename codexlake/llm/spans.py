@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.runtime import parallelism, staged
+from codexlake.runtime import parallelism, spread, staged
 
 GRAM = 56
 #: Contexts of one anchor that one automaton may hold; anchors with more count equal windows across tasks instead.
@@ -208,7 +208,7 @@ def shared_spans(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = texts.sparkSession
-    docs = texts.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL").filter(F.length("text") >= length)
+    docs = spread(texts.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL").filter(F.length("text") >= length), "doc")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

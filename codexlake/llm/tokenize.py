@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codexlake.runtime import spread
+
 TOKENIZER_DIR = os.environ.get("CODEXLAKE_TOKENIZERS", "/opt/tokenizers")
 BYTE_BPE_50K = "byte_bpe_50k.tiktoken"
 
@@ -158,12 +160,12 @@ def encoder(path: str) -> Encoder:
 def encode_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, tokenizer_dir: str = TOKENIZER_DIR, vocabulary: str = BYTE_BPE_50K, counts_only: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, ids ARRAY<INT>), or (id, *keep, n_tokens BIGINT) with counts_only; a row for each row of df.
 
-    No shuffle; rows stay in their partition. Null and empty texts give an empty list (0 tokens); a null id stays
+    No shuffle, unless the table has fewer files than the cluster cores. Null and empty texts give an empty list (0 tokens); a null id stays
     null; repeated rows are encoded each; an empty table gives an empty table; special tokens are never produced,
     their strings are ordinary text. Other columns of df are not read.
     """
     path = f"{tokenizer_dir}/{vocabulary}"
-    source = df.select(F.col(id_col), *(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text"))
+    source = spread(df.select(F.col(id_col), *(F.col(c) for c in keep), F.col(text_col).cast("string").alias("__text")), id_col)
     out_schema = source.drop("__text").withColumn(*(("n_tokens", F.lit(0).cast("bigint")) if counts_only else ("ids", F.lit(None).cast("array<int>")))).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
