@@ -9,36 +9,43 @@ from codexlake.functions import scoring, text
 
 # The shares of common words from which a match is strong or weak.
 STRONG, WEAK = 0.6, 0.45
+#: A word is dealt to one more task for each so many pairs of sets that meet in it.
+MEETINGS = 250_000
 
 
 def classified(overlap: Column, author_matches: Column) -> Column:
     return F.when((overlap >= STRONG) & author_matches, "verified").when(overlap >= WEAK, "ambiguous").otherwise("not_found")
 
 
-def candidates(citations: DataFrame, works: DataFrame, max_share: float = 0.02) -> DataFrame:
-    """Citations with the works they share a telling word with: a join on words, not on all pairs.
+def overlaps(claims: DataFrame, titles: DataFrame) -> DataFrame:
+    """(claim, title, overlap) of the sets that share WEAK of the smaller one's words or more, counted over every shared
+    word. claims: (claim, claimed_words), titles: (title, words), each set once; words that meet often are salted."""
+    asked = claims.select("claim", F.size("claimed_words").alias("a"), F.explode("claimed_words").alias("word"))
+    held = titles.select("title", F.size("words").alias("b"), F.explode("words").alias("word"))
+    met = asked.groupBy("word").agg(F.count(F.lit(1)).alias("cf")).join(held.groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word")
+    salts = met.select("word", F.ceil(F.col("cf") * F.col("df") / MEETINGS).cast("int").alias("salts"))
+    asked = asked.join(salts, "word").withColumn("salt", F.pmod(F.xxhash64("claim"), F.col("salts")).cast("int")).drop("salts")
+    held = held.join(salts, "word").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    common = asked.join(held, ["word", "salt"]).groupBy("claim", "title", "a", "b").agg(F.count(F.lit(1)).alias("common"))
+    return common.select("claim", "title", (F.col("common") / F.least("a", "b")).alias("overlap")).filter(F.col("overlap") >= WEAK)
 
-    A word is telling unless it stands in more than max_share of the works; an overlap of WEAK needs one word at least,
-    and titles whose words are all common are joined on their rarest word.
+
+def candidates(citations: DataFrame, works: DataFrame) -> DataFrame:
+    """Citations with all works whose titles overlap with theirs by WEAK or more: a join on words, not on all pairs.
+
+    Equal sets of words are compared once.
     """
-    works = works.withColumn("words", text.significant_words(F.col("title"))).filter(F.size("words") > 0)
-    each = works.select("work_id", F.explode("words").alias("word"))
-    spread = each.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    total = works.count()
-    rarest = Window.partitionBy("work_id").orderBy("df", "word")
-    blocked = each.join(spread, "word").withColumn("place", F.row_number().over(rarest)).filter((F.col("df") <= max(1.0, max_share * total)) | (F.col("place") == 1)).select("work_id", "word")
-    cited = citations.withColumn("claimed_words", text.significant_words(F.col("claimed_source")))
-    asked = cited.select("id", F.explode("claimed_words").alias("word"))
-    pairs = asked.join(blocked, "word").select("id", "work_id").distinct()
-    return pairs.join(cited, "id").join(works, "work_id")
-
-
-def best_matches(citations: DataFrame, works: DataFrame, max_share: float = 0.02) -> DataFrame:
+    works = works.withColumn("words", F.sort_array(text.significant_words(F.col("title")))).withColumn("title", F.array_join("words", " "))
+    cited = citations.withColumn("claimed_words", F.sort_array(text.significant_words(F.col("claimed_source")))).withColumn("claim", F.array_join("claimed_words", " "))
+    near = overlaps(cited.select("claim", "claimed_words").dropDuplicates(["claim"]), works.select("title", "words").dropDuplicates(["title"]))
+    return near.join(cited.select("id", "claim", "claimed_author"), "claim").join(works.select("work_id", "title", "author_families"), "title")
+
+
+def best_matches(citations: DataFrame, works: DataFrame) -> DataFrame:
     """(id, work_id, status, overlap, confidence): the best candidate of each citation, verified ones first, then by
     confidence, then the smaller work; citations without a candidate are not_found."""
-    scored = candidates(citations, works, max_share).withColumn("overlap", text.word_overlap(F.col("claimed_words"), F.col("words")))
-    scored = scored.withColumn("author_matches", scoring.author_named(F.col("claimed_author"), F.col("author_families")))
-    scored = scored.withColumn("status", classified(F.col("overlap"), F.col("author_matches"))).filter("status <> 'not_found'")
+    scored = candidates(citations, works).withColumn("author_matches", scoring.author_named(F.col("claimed_author"), F.col("author_families")))
+    scored = scored.withColumn("status", classified(F.col("overlap"), F.col("author_matches")))
     scored = scored.withColumn("confidence", F.least(F.lit(1.0), F.col("overlap") * F.when(F.col("author_matches"), 1.0).otherwise(0.7)))
     order = Window.partitionBy("id").orderBy((F.col("status") == "verified").desc(), F.desc(F.round("confidence", 9)), "work_id")
     best = scored.withColumn("place", F.row_number().over(order)).filter("place = 1").select("id", "work_id", "status", "overlap", "confidence")
