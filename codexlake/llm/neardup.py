@@ -19,8 +19,9 @@ WORD_MEMO = 1_000_000
 SLOTS = 1 << 20
 BANDS, ROWS = 64, 3
 #: Slots in at least this share of SAMPLE_TEXTS texts are left out of signatures, as set phrases tell no copies apart;
-#: texts of at most SHORT shingles get bands of all their slots besides. Verification uses all shingles of all texts.
-COMMON_SHARE, SAMPLE_TEXTS, SHORT = 0.01, 4_000, 48
+#: texts of at most SHORT shingles, or with set phrases for more than WITHIN of the threshold, as the copies of one large
+#: family have, get bands of all their slots besides. Verification uses all shingles of all texts.
+COMMON_SHARE, SAMPLE_TEXTS, SHORT, WITHIN = 0.01, 4_000, 48, 0.8
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -98,7 +99,8 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
     named by its smallest id. links: (field, class_a, class_b, jaccard), class_a < class_b: the pairs of classes whose
     shingles, sequences of `words` consecutive words of lower-cased letters and digits, have a Jaccard similarity of
     the threshold or more, verified exactly. Candidates share a band of the circulant MinHash signature; with the
-    default bands 99.9 % of the pairs at similarity 0.47 do. Values that are null, empty or shorter than `words` words
+    default bands 99.9 % of the pairs at similarity 0.47 do, by the slots that are signed: all slots where both texts
+    consist of set phrases by more than WITHIN of the threshold, else the rare ones. Values that are null, empty or shorter than `words` words
     are in no class; repeated rows of one id are in the class once; a null id is left out; an empty table gives empty
     results; other columns are ignored, whole texts are read. Only classes, never their copies, are compared.
     """
@@ -129,7 +131,7 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
                 slots = slots_of(hashes)
                 rare = slots[~set_phrases[slots]]
                 own = [band_keys(rare, bands, rows, 0)] if len(rare) else []
-                if len(hashes) <= SHORT or not own:
+                if len(hashes) <= SHORT or len(slots) - len(rare) > WITHIN * threshold * len(slots):
                     own.append(band_keys(slots, bands, rows, 1))
                 at.append(i)
                 key.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))

@@ -52,6 +52,16 @@ def test_pairs_equal_brute_force(spark):
     assert {(r.field, r.id) for r in members.collect()} == set(sets_of(rows, 3))
 
 
+def test_a_family_that_holds_a_third_of_the_rows_keeps_its_links(spark):
+    rng = np.random.default_rng(1)
+    words, copied = ([f"w{x}" for x in rng.integers(0, 10_000, 150)] for _ in range(2))
+    rows = [(f"family-{j:02}", edited(rng, words, 3), None) for j in range(40)]
+    rows += [(f"copied-{j:02}", " ".join(copied), None) for j in range(30)] + [(f"variant-{j}", edited(rng, copied, 4), None) for j in range(5)]
+    rows += [(f"other-{j:02}", edited(rng, [f"w{x}" for x in rng.integers(0, 10_000, 150)], 0), None) for j in range(45)]
+    members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative", "summary"), words=3, threshold=0.5)
+    assert {tuple(r) for r in neardup.pairs_of(members, links).collect()} == brute(rows, 3, 0.5)
+
+
 def test_groups_are_connected_components(spark):
     rows = rows_of()
     members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative", "summary"), words=3, threshold=0.5)
