@@ -166,7 +166,8 @@ def match(citations: DataFrame, works: DataFrame, *, window: int = WINDOW, min_c
     works of different authors equally, which then decide nothing and give no row. Null or empty sources match nothing;
     a null or blank author is not held against a work; null ids are left out; repeated rows of a citation give one row
     a work; an empty table gives an empty result. Citations that claim the same are matched once. The sorted catalogue
-    is dealt to chunks of key ranges, each with `window` keys of its neighbours; citations go to the chunk of each of
+    is dealt to chunks of key ranges of at least `window` different keys, each with `window` keys of its neighbours; all
+    works of a key are neighbours, however many share it; citations go to the chunk of each of
     their keys, salted over several tasks, so that neither side is gathered or broadcast.
     """
     works = works.select(F.col("work_id").cast("bigint").alias("work_id"), F.col("title").cast("string").alias("title"), F.col("families").cast("array<string>").alias("families"), F.col("year").cast("int").alias("year")).filter("work_id IS NOT NULL AND title IS NOT NULL")
@@ -186,16 +187,21 @@ def match(citations: DataFrame, works: DataFrame, *, window: int = WINDOW, min_c
     if chunks > 1:
         sample = keyed.filter(F.pmod(F.xxhash64("key", "work_id"), F.lit(max(1, n_keys // (100 * chunks)))) == 0).select("key").toArrow().column("key").to_pylist()
         sample.sort()
-        bounds = sorted({sample[i * len(sample) // chunks] for i in range(1, chunks)}) if sample else []
+        distinct, before = sorted(set(sample)), 0
+        for i in range(1, chunks) if sample else ():
+            at = bisect_left(distinct, sample[i * len(sample) // chunks])
+            if at - before >= window and len(distinct) - at >= window:
+                bounds.append(distinct[at])
+                before = at
 
     def chunk_of(key: F.Column) -> F.Column:
         return F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= key)) if bounds else F.lit(0)
 
     placed = keyed.withColumn("chunk", chunk_of(F.col("key")))
     if bounds:
-        first, last = Window.partitionBy("chunk").orderBy("key", "work_id"), Window.partitionBy("chunk").orderBy(F.desc("key"), F.desc("work_id"))
-        up = placed.withColumn("n", F.row_number().over(last)).filter(F.col("n") <= window).drop("n").withColumn("chunk", F.col("chunk") + 1)
-        down = placed.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= window).drop("n").withColumn("chunk", F.col("chunk") - 1)
+        first, last = Window.partitionBy("chunk").orderBy("key"), Window.partitionBy("chunk").orderBy(F.desc("key"))
+        up = placed.withColumn("n", F.dense_rank().over(last)).filter(F.col("n") <= window).drop("n").withColumn("chunk", F.col("chunk") + 1)
+        down = placed.withColumn("n", F.dense_rank().over(first)).filter(F.col("n") <= window).drop("n").withColumn("chunk", F.col("chunk") - 1)
         placed = placed.unionByName(up).unionByName(down)
 
     def claim_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +218,9 @@ def match(citations: DataFrame, works: DataFrame, *, window: int = WINDOW, min_c
     def compare(claims: pa.Table, catalogue: pa.Table) -> pa.Table:
         held = catalogue.to_pydict()
         order = sorted(range(catalogue.num_rows), key=lambda i: (held["key"][i], held["work_id"][i]))
-        keys = [held["key"][i] for i in order]
+        starts = [n for n, i in enumerate(order) if n == 0 or held["key"][i] != held["key"][order[n - 1]]]
+        keys = [held["key"][order[n]] for n in starts]
+        starts.append(len(order))
         known: dict[int, tuple[Title, list[str], int | None]] = {}
         place = []
         for i in order:
@@ -226,7 +234,7 @@ def match(citations: DataFrame, works: DataFrame, *, window: int = WINDOW, min_c
         near: dict[tuple[str, str | None], set[int]] = {}
         for source, author, key in zip(asked["source"], asked["author"], asked["key"]):
             at = bisect_left(keys, key)
-            near.setdefault((source, author), set()).update(place[max(0, at - window) : at + window])
+            near.setdefault((source, author), set()).update(place[starts[max(0, at - window)] : starts[min(len(keys), at + window)]])
         out = []
         titles: dict[str, Title] = {}
         for (source, author), candidates in near.items():

@@ -52,6 +52,15 @@ def test_cases(spark, chunk_keys):
     assert {i: got.get(i) for i in range(len(CASES))} == {i: w for i, (_, _, w) in enumerate(CASES)}
 
 
+@pytest.mark.parametrize("chunk_keys", [200_000, 40])
+def test_long_runs_of_equal_keys_are_compared_whole(spark, chunk_keys):
+    volumes = [(1000 + i, f"Annals of the Orusel Bells, Volume {i}", ["Ordovan"], 1900) for i in range(1, 31)]
+    same = [(2000 + i, "A Survey of Mirrored Canals", [f"Holder{chr(97 + i)}son"], 1900) for i in range(20)]
+    cases = [(f"Annals of the Orusel Bells, Volume {i}", "Ordovan", 1000 + i) for i in (1, 7, 18, 30)] + [("A Survey of Mirrored Canals", f"Holdr{chr(97 + i)}son", 2000 + i) for i in (0, 9, 19)]
+    got = run(spark, cases, [*CATALOGUE, *volumes, *same], chunk_keys=chunk_keys)
+    assert {i: got.get(i) for i in range(len(cases))} == {i: w for i, (_, _, w) in enumerate(cases)}
+
+
 def test_empty_sides(spark):
     assert run(spark, CASES, []) == {}
     claims = spark.createDataFrame([], CLAIMS)
