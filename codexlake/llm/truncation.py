@@ -40,6 +40,9 @@ NAME_LETTERS = 4
 CUT_MARKS = ("…", "...", "[...]", "[…]", "(...)", "(…)", "�")
 TRAILING = re.compile(r"(?:\s|" + "|".join(map(re.escape, sorted(CUT_MARKS, key=len, reverse=True))) + r")+$")
 
+#: In Java's syntax: a character that no trailing mark or white space has.
+_TELLING = r"(?U)[^\s\x1c-\x1f….\[\]()\ufffd]"
+
 _NAME, _INITIAL, _DIGIT = 0xE000, 0xE001, 0x30
 _LIMIT = 0x3000
 _LETTER, _UPPER, _NUMBER = 1, 2, 4
@@ -131,7 +134,7 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
 
     log_odds are those of end against continuation in the value's final context, less MARK_WEIGHT if a cut mark follows
     the text; is_cut says that they lie below the threshold, the average log-odds of the value's language and column
-    plus margin. Trailing white space and cut marks are no context. Language is lang_col in lower case, or one for all
+    plus margin. Trailing white space and cut marks, however many, are no context. Language is lang_col in lower case, or one for all
     without it; a null one is a language of its own. Every value of the table trains the model, in full, and is judged
     by it; a null id stays null; repeated rows count and come out each; an empty table gives an empty result; other
     columns are ignored. Only the model, of at most MODEL_SHARE contexts an order, is gathered.
@@ -142,12 +145,12 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
     rows = spread(texts.select(F.col(id_col).alias("id"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)), lang.alias("lang"), *(F.col(f).alias(f"text_{f}") for f in fields)), "id")
     rows = rows.select("id", *(f"keep_{i}" for i in range(len(keep))), "lang", each.alias("r"))
     rows = rows.select("id", *(f"keep_{i}" for i in range(len(keep))), F.col("r.field").alias("field"), F.concat_ws("\t", "lang", "r.field").alias("group"), F.col("r.text").alias("text")).filter(F.col("text").rlike(r"\S"))
-    tails = rows.withColumn("text", F.substring("text", -TAIL, TAIL))
+    tails = rows.withColumn("text", F.when(F.substring("text", -TAIL, TAIL).rlike(_TELLING), F.substring("text", -2 * TAIL, 2 * TAIL)).otherwise(F.col("text")))
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             groups = batch.column("group").to_pylist()
-            found = _end_hashes([TRAILING.sub("", t) for t in batch.column("text").to_pylist()], groups)
+            found = _end_hashes([TRAILING.sub("", t)[-TAIL:] for t in batch.column("text").to_pylist()], groups)
             for k in range(len(ORDERS)):
                 h, n = np.unique(found[found[:, k] != 0, k], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
@@ -211,7 +214,7 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
         for batch in batches:
             groups, raw = batch.column("group").to_pylist(), batch.column("text").to_pylist()
             bare = [TRAILING.sub("", t) for t in raw]
-            found, value = _end_hashes(bare, groups), np.full(len(raw), np.nan)
+            found, value = _end_hashes([b[-TAIL:] for b in bare], groups), np.full(len(raw), np.nan)
             for k, h in enumerate(contexts):
                 if len(h):
                     at = np.minimum(np.searchsorted(h, found[:, k]), len(h) - 1)

@@ -49,6 +49,15 @@ def test_no_values_nulls_blanks_and_long_texts(spark):
     assert truncation.cut_values(table(spark, []), "id", ("summary",)).collect() == []
 
 
+def test_any_number_of_spaces_and_marks_may_follow_a_cut(spark):
+    rows, cut = corpus()
+    padded = {i: pad for i, pad in zip(sorted(cut), (" " * 3000, "\n" * 5000, "\u00a0" * 2500, " ..." * 1000))}
+    plain = {r.id: r for r in truncation.cut_values(table(spark, rows), "id", ("summary",)).collect()}
+    got = {r.id: r for r in truncation.cut_values(table(spark, [(i, t + padded.get(i, ""), m) for i, t, m in rows]), "id", ("summary",)).collect()}
+    assert all(plain[i].is_cut and got[i].is_cut for i in padded)
+    assert {i for i, r in got.items() if r.is_cut} == {i for i, r in plain.items() if r.is_cut}
+
+
 def test_symbols_fold_names_numbers_and_capitals():
     codes = np.frombuffer("Ann met Teloravin in 1503. B. SONS LTD.".encode("utf-32-le"), np.uint32)
     out, _ = truncation.symbols(codes, np.zeros(len(codes), int))
