@@ -10,18 +10,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.runtime import bounded_sample, spread, staged
+from codexlake.runtime import spread, staged
 
 WORD = re.compile(r"[^\W_]+")
 WORD_MEMO = 1_000_000
 
 #: Slots that shingles are hashed to, and bands x rows coordinates of a signature.
 SLOTS = 1 << 20
-BANDS, ROWS = 64, 3
-#: Slots in at least this share of SAMPLE_TEXTS texts are left out of signatures, as set phrases tell no copies apart;
-#: texts of at most SHORT shingles, or with set phrases for more than WITHIN of the threshold, as the copies of one large
-#: family have, get bands of all their slots besides. Verification uses all shingles of all texts.
-COMMON_SHARE, SAMPLE_TEXTS, SHORT, WITHIN = 0.01, 4_000, 48, 0.8
+BANDS, ROWS = 112, 4
+#: A band that more texts share is dealt to pairs of blocks of about so many texts, each pair of blocks a task's work.
+BLOCK_TEXTS = 512
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -78,9 +76,9 @@ def signature(slots: np.ndarray, coordinates: int) -> np.ndarray:
     return out
 
 
-def band_keys(slots: np.ndarray, bands: int, rows: int, kind: int) -> np.ndarray:
+def band_keys(slots: np.ndarray, bands: int, rows: int) -> np.ndarray:
     parts = signature(slots, bands * rows).reshape(bands, rows).astype(np.uint64)
-    mixed = scramble(np.arange(bands, dtype=np.uint64) + np.uint64(kind << 20))
+    mixed = scramble(np.arange(bands, dtype=np.uint64))
     for k in range(rows):
         mixed = scramble(mixed + parts[:, k] * _MIX[2])
     return mixed.view(np.int64)
@@ -92,51 +90,104 @@ def _fields(texts: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame
     return spread(texts.filter(F.col(id_col).isNotNull()).select(id_col, *(f for f in fields if f != id_col)), id_col).select(F.col(id_col).cast("string").alias("id"), rows.alias("r")).selectExpr("r.field", "id", "r.text").filter("text IS NOT NULL")
 
 
-def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, sample_texts: int = SAMPLE_TEXTS) -> tuple[DataFrame, DataFrame]:
+def _runs_to_pairs(batches: Iterator[pa.RecordBatch], threshold: float, block: int) -> Iterator[pa.RecordBatch]:
+    """(a, b, hot) from rows sorted by band: the pairs of nodes of each run of one band whose sizes allow the threshold;
+    the rows of a run longer than the block come out as (node, band, hot) instead, as they come in, unpaired."""
+    band, node, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hot = None
+
+    def made(a: np.ndarray, b: np.ndarray, is_hot: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_hot))], names=["a", "b", "hot"])
+
+    for batch in _and_end(batches):
+        if batch is not None:
+            band, node, n = (np.concatenate((own, batch.column(c).to_numpy().astype(np.int64))) for own, c in ((band, "band"), (node, "node"), (n, "n")))
+        starts = np.flatnonzero(np.concatenate(([True], band[1:] != band[:-1]))) if len(band) else np.zeros(0, np.int64)
+        sizes = np.diff(np.append(starts, len(band)))
+        if batch is not None and len(sizes) and sizes[-1] <= block and band[-1] != hot:
+            whole = int(starts[-1])
+            starts, sizes = starts[:-1], sizes[:-1]
+        else:
+            whole = len(band)
+        long = (sizes > block) | (band[starts] == hot) if len(starts) else np.zeros(0, bool)
+        in_long = np.repeat(long, sizes)
+        rows = np.arange(whole)
+        if in_long.any():
+            yield made(node[:whole][in_long], band[:whole][in_long], True)
+        hot = int(band[whole - 1]) if whole and len(long) and long[-1] and batch is not None else hot
+        rows, ends = rows[~in_long], np.repeat(np.append(starts[1:], whole)[: len(sizes)], sizes)[~in_long]
+        step = 1
+        while len(rows):
+            keep = rows + step < ends
+            rows, ends = rows[keep], ends[keep]
+            other = rows + step
+            fits = np.minimum(n[rows], n[other]) >= threshold * np.maximum(n[rows], n[other])
+            if fits.any():
+                yield made(node[rows[fits]], node[other[fits]], False)
+            step += 1
+        band, node, n = band[whole:], node[whole:], n[whole:]
+
+
+def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, other), node < other, once each: the nodes that share a band and whose sizes allow the threshold.
+
+    buckets: (node, n, band). One exchange brings equal bands together; bands of more than `block` nodes leave their
+    task unpaired and are dealt to pairs of blocks, so that no task holds more than two blocks of one band.
+    """
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _runs_to_pairs(batches, threshold, block)
+
+    met = staged(buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(pair, "a bigint, b bigint, hot boolean"), "bands")
+    near = met.filter("NOT hot").select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
+    hot = met.filter("hot").select(F.col("b").alias("band"), F.col("a").alias("node"))
+    blocks = hot.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
+    sizes = buckets.select("node", "n").distinct()
+    dealt = hot.join(blocks, "band").join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select(F.xxhash64("band", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "node", "n", "own", (F.col("own") == F.col("with")).alias("same"))
+
+    def across(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell = pa.Table.from_batches(list(parts))
+        node, n, own, same = (cell.column(c).to_numpy() for c in ("node", "n", "own", "same"))
+        i, j = np.triu_indices(len(node), 1)
+        use = ((own[i] != own[j]) | (same[i] & same[j])) & (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]))
+        i, j = i[use], j[use]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
+
+    far = dealt.groupBy("cell").applyInArrow(across, "node bigint, other bigint")
+    return near.unionByName(far).filter("node <> other").distinct()
+
+
+def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate texts within each field.
 
     members: (field, id, class_id), a row for each value that has a shingle; values with the same shingles form a class,
     named by its smallest id. links: (field, class_a, class_b, jaccard), class_a < class_b: the pairs of classes whose
     shingles, sequences of `words` consecutive words of lower-cased letters and digits, have a Jaccard similarity of
-    the threshold or more, verified exactly. Candidates share a band of the circulant MinHash signature; with the
-    default bands 99.9 % of the pairs at similarity 0.47 do, by the slots that are signed: all slots where both texts
-    consist of set phrases by more than WITHIN of the threshold, else the rare ones. Values that are null, empty or shorter than `words` words
-    are in no class; repeated rows of one id are in the class once; a null id is left out; an empty table gives empty
-    results; other columns are ignored, whole texts are read. Only classes, never their copies, are compared.
+    the threshold or more, verified exactly. Candidates share a band of the circulant MinHash signature of all their
+    shingles, however common; with the default bands 99.93 % of the pairs at similarity 0.5 do, and practically
+    all at 0.8. Values that are null, empty or shorter than `words` words are in no class; repeated rows of one id
+    are in the class once; a null id is left out; an empty table gives empty results; other columns are ignored, whole
+    texts are read. Only classes, never their copies, are compared.
     """
-    spark = texts.sparkSession
     source = _fields(texts, id_col, fields)
-    total = texts.count()
-    sample = _fields(bounded_sample(texts, id_col, sample_texts, total), id_col, fields)
-
-    def sample_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(slots_of(shingles(text, words))))], names=["slot"])
-
-    least = max(20, int(COMMON_SHARE * min(total, sample_texts)))
-    frequent = sample.mapInArrow(sample_slots, "slot bigint").groupBy("slot").count().filter(F.col("count") >= least).select("slot").toArrow().column("slot").to_numpy()
-    common = np.zeros(SLOTS, bool)
-    common[frequent] = True
-    shared = spark.sparkContext.broadcast(np.packbits(common))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        set_phrases = np.unpackbits(shared.value).astype(bool)
         for batch in batches:
             at, key, many, keys = [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingles(text, words)
                 if not len(hashes):
                     continue
-                slots = slots_of(hashes)
-                rare = slots[~set_phrases[slots]]
-                own = [band_keys(rare, bands, rows, 0)] if len(rare) else []
-                if len(hashes) <= SHORT or len(slots) - len(rare) > WITHIN * threshold * len(slots):
-                    own.append(band_keys(slots, bands, rows, 1))
                 at.append(i)
                 key.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
                 many.append(len(hashes))
-                keys.append(np.concatenate(own))
+                keys.append(band_keys(slots_of(hashes), bands, rows))
             sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             rows_at = pa.array(at, pa.int64())
@@ -146,11 +197,8 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
     classes = signed.groupBy("field", "content").agg(F.min("id").alias("class_id"))
     members = signed.select("field", "id", "content").distinct().join(classes, ["field", "content"]).select("field", "id", "class_id")
     heads = signed.join(classes.select("field", F.col("class_id").alias("id"), "content"), ["field", "id", "content"], "left_semi").dropDuplicates(["field", "id"])
-    buckets = heads.select(F.xxhash64("field", "id").alias("node"), "n", F.explode(F.array_distinct("bands")).alias("band"), F.col("field"))
-    buckets = buckets.select("node", "n", F.xxhash64("field", "band").alias("band"))
-    left, right = buckets, buckets.select(F.col("node").alias("other"), F.col("n").alias("m"), "band")
-    near = left.join(right, "band").filter("node < other").filter(F.least("n", "m") >= F.lit(threshold) * F.greatest("n", "m")).select("node", "other").distinct()
-    near = staged(near, "candidates")
+    buckets = heads.select(F.xxhash64("field", "id").alias("node"), "n", F.explode("bands").alias("band"), F.col("field"))
+    near = staged(_candidates(buckets.select("node", "n", F.xxhash64("field", "band").alias("band")), threshold, block_texts), "candidates")
 
     wanted = near.select("node").union(near.select("other")).distinct()
     chosen = source.join(heads.select("field", "id", F.xxhash64("field", "id").alias("node")).join(wanted, "node", "left_semi"), ["field", "id"])

@@ -131,6 +131,14 @@ WITH t AS (SELECT 'narrative' AS field, id, narrative AS text FROM entities UNIO
      n AS (SELECT field, id, count(*) AS n FROM g GROUP BY ALL),
      p AS (SELECT a.field, a.id AS id_a, b.id AS id_b, count(*) AS n FROM g a JOIN g b ON a.field = b.field AND a.s = b.s AND a.id < b.id GROUP BY ALL)
 """
+_RECURSIVE_GROUPS = f""", h AS (SELECT field, id, list(s ORDER BY s) AS content FROM g GROUP BY ALL),
+     c AS (SELECT field, id, min(id) OVER (PARTITION BY field, content) AS class_id FROM h),
+     l AS (SELECT DISTINCT p.field, x.class_id AS a, y.class_id AS b FROM p JOIN n a ON a.field = p.field AND a.id = id_a JOIN n b ON b.field = p.field AND b.id = id_b
+           JOIN c x ON x.field = p.field AND x.id = id_a JOIN c y ON y.field = p.field AND y.id = id_b WHERE p.n >= {P6_SIMILARITY} * (a.n + b.n - p.n) AND x.class_id <> y.class_id),
+     e AS (SELECT field, a, b FROM l UNION SELECT field, b, a FROM l),
+     k AS (SELECT field, a AS class_id, count(*) AS n_links FROM e GROUP BY ALL),
+     r AS (SELECT DISTINCT field, a AS x, a AS y FROM e UNION SELECT r.field, r.x, e.b FROM r JOIN e ON e.field = r.field AND e.a = r.y),
+     m AS (SELECT field, x AS class_id, min(y) AS group_id FROM r GROUP BY ALL)"""
 _SPANS = """
 WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 120),
      w AS (SELECT doc_id, i, hash(substring(text, (i + 1)::INT, 120)) AS h FROM (SELECT doc_id, text, unnest(range(0, length(text) - 119)) AS i FROM d)),
@@ -146,6 +154,10 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _NEAREST + f"SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM r WHERE k <= {P3_NEIGHBOURS}",
         "p3_neighbours": _NEAREST + f"SELECT id, neighbour, round(similarity, 6) AS similarity FROM r WHERE k <= {P3_NEIGHBOURS}",
         "p6_found": _SHINGLES + f"SELECT p.field, id_a, id_b FROM p JOIN n a ON a.field = p.field AND a.id = id_a JOIN n b ON b.field = p.field AND b.id = id_b WHERE p.n >= {P6_SIMILARITY} * (a.n + b.n - p.n)",
+        "p6_groups": _SHINGLES.replace("WITH t", "WITH RECURSIVE t", 1)
+        + f"""{_RECURSIVE_GROUPS}
+             SELECT c.field, c.id, c.class_id, coalesce(m.group_id, c.class_id) AS group_id, coalesce(k.n_links, 0) AS n_links
+             FROM c LEFT JOIN m ON m.field = c.field AND m.class_id = c.class_id LEFT JOIN k ON k.field = c.field AND k.class_id = c.class_id""",
         "p9_found": _SPANS + "SELECT * FROM spans",
         "p9_shared": _SPANS
         + """, s AS (SELECT doc_id, count(*) AS n_spans, sum(span_end - span_start)::BIGINT AS shared_chars FROM spans GROUP BY 1)

@@ -62,6 +62,41 @@ def test_a_family_that_holds_a_third_of_the_rows_keeps_its_links(spark):
     assert {tuple(r) for r in neardup.pairs_of(members, links).collect()} == brute(rows, 3, 0.5)
 
 
+def test_texts_on_one_template_keep_all_links(spark):
+    rng = np.random.default_rng(2)
+    def words(n):
+        return [f"w{x}" for x in rng.integers(0, 100_000, n)]
+    template = words(160)
+    rows = [(f"t{j:04}", " ".join(template + words(30)), None) for j in range(60)] + [(f"x{j:04}", " ".join(words(190)), None) for j in range(1440)]
+    members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative",), words=3, threshold=0.5)
+    got = {(r.class_a, r.class_b) for r in links.collect()}
+    assert len(got) == 1770 and got == {(i, j) for _, i, j in brute(rows[:60], 3, 0.5)} and members.count() == 1500
+
+
+def test_bands_of_many_texts_are_dealt_to_blocks(spark):
+    rng = np.random.default_rng(3)
+    words = [f"w{x}" for x in rng.integers(0, 10_000, 120)]
+    rows = [(f"f{j:02}", edited(rng, words, 2), None) for j in range(50)] + [(f"x{j}", edited(rng, [f"w{x}" for x in rng.integers(0, 10_000, 120)], 0), None) for j in range(20)]
+    for block in (3, 10):
+        members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative",), words=3, threshold=0.5, block_texts=block)
+        assert {tuple(r) for r in neardup.pairs_of(members, links).collect()} == brute(rows, 3, 0.5)
+
+
+def test_runs_are_paired_alike_however_batches_are_cut():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    band = np.sort(rng.integers(0, 60, 400))
+    band[100:160] = band[100]
+    node, n = np.arange(400), rng.integers(5, 20, 400)
+    want = {(i, j) for i in range(400) for j in range(i + 1, 400) if band[i] == band[j] and np.count_nonzero(band == band[i]) <= 30 and min(n[i], n[j]) >= 0.5 * max(n[i], n[j])}
+    hot = {i for i in range(400) if np.count_nonzero(band == band[i]) > 30}
+    for size in (1, 7, 33, 64, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + size]) for x in (band, node, n)], names=["band", "node", "n"]) for a in range(0, 400, size)]
+        out = pa.Table.from_batches(list(neardup._runs_to_pairs(iter(batches), 0.5, 30))).to_pylist()
+        assert {(r["a"], r["b"]) for r in out if not r["hot"]} == want and {r["a"] for r in out if r["hot"]} == hot
+
+
 def test_groups_are_connected_components(spark):
     rows = rows_of()
     members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative", "summary"), words=3, threshold=0.5)
