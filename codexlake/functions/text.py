@@ -74,9 +74,9 @@ def accent_classes() -> dict[str, str]:
 
 def significant_words(text: Column) -> Column:
     """Distinct words of more than three letters a-z or digits; an accent ends a word, as a decomposed mark would."""
-    text = F.lower(text)
-    for letter, accented in accent_classes().items():
-        text = F.regexp_replace(text, f"[{accented}]", f"{letter} ")
+    classes = accent_classes()
+    accented, plain = "".join(classes.values()), "".join(letter * len(others) for letter, others in classes.items())
+    text = F.translate(F.regexp_replace(F.lower(text), f"([{accented}])", "$1 "), accented, plain)
     words = F.split(F.regexp_replace(text, "[^a-z0-9]+", " "), " ")
     return F.array_distinct(F.filter(words, lambda w: F.length(w) > 3))
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.operators.lists import page
+from codexlake.schema import NOTES
 
 
 def head(queue: DataFrame, status: str = "pending", limit: int = 1) -> DataFrame:
@@ -25,6 +26,13 @@ def latest(df: DataFrame, limit: int) -> DataFrame:
     return page(df, (F.desc("id"),), limit)
 
 
+def open_reviews(reviews: DataFrame, entities: DataFrame, limit: int) -> DataFrame:
+    """Unresolved reviews with their entity's names, notes and score, the most severe and then the latest first."""
+    waiting = page(reviews.filter(F.col("resolved_at").isNull()).join(entities.select(F.col("id").alias("entity_id"), "slug", "canonical_name", "disagreement_notes", "consensus_score"), "entity_id"), (F.desc("severity"), F.desc("id")), limit)
+    notes = F.coalesce(F.from_json("disagreement_notes", NOTES), F.array().cast(NOTES))
+    return waiting.select(F.col("id").alias("review_id"), "entity_id", "slug", "canonical_name", "reason", "severity", notes.alias("disagreements"), "consensus_score")
+
+
 def with_problems(entities: DataFrame, claims: DataFrame) -> DataFrame:
     """Entities with the sorted claims that were not corroborated, empty where there are none."""
     problems = claims.filter("verdict <> 'corroborated'").groupBy("entity_id").agg(F.sort_array(F.collect_list("claim")).alias("problems"))

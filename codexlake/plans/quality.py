@@ -82,10 +82,14 @@ def open_review_count(c: Corpus) -> DataFrame:
     return c.reviews.filter("resolved_at IS NULL").agg(F.count(F.lit(1)).alias("n_open"))
 
 
-@query(with_views("reviews") + "SELECT r.id, r.severity, r.reason, e.slug FROM reviews r JOIN entities e ON e.id = r.entity_id WHERE r.severity >= 2 ORDER BY r.severity DESC, r.id DESC LIMIT 50")
+@query(
+    with_views("reviews")
+    + """SELECT r.id AS review_id, r.entity_id, e.slug, e.canonical_name, r.reason, r.severity, coalesce(len(from_json(e.disagreement_notes, '[{"severity":"VARCHAR"}]')), 0)::INT AS n_disagreements,
+       round(e.consensus_score::DOUBLE, 4) AS consensus_score FROM reviews r JOIN entities e ON e.id = r.entity_id WHERE r.resolved_at IS NULL ORDER BY r.severity DESC, r.id DESC LIMIT 50"""
+)
 def review_queue_open(c: Corpus) -> DataFrame:
-    joined = c.reviews.filter("severity >= 2").join(c.entities.select(F.col("id").alias("entity_id"), "slug"), "entity_id")
-    return lists.page(joined, (F.desc("severity"), F.desc("id")), 50).select("id", "severity", "reason", "slug")
+    found = queues.open_reviews(c.reviews, c.entities, 50)
+    return found.withColumn("n_disagreements", F.size("disagreements")).withColumn("consensus_score", F.round(F.col("consensus_score").cast("double"), 4)).drop("disagreements")
 
 
 @query("SELECT status, count(*) AS n FROM entities GROUP BY 1")
@@ -188,34 +192,51 @@ def title_words(c: Corpus) -> DataFrame:
     return c.raw("bib_works").select("work_id", F.array_join(F.sort_array(text.significant_words(F.col("title"))), " ").alias("words"))
 
 
-_BEST = (
-    with_views("citations")
-    + f""", c AS (SELECT id, claimed_author, {_words('claimed_source')} AS words FROM citations), w AS (SELECT work_id, author_families, {_words('title')} AS words FROM bib_works),
-    each AS (SELECT work_id, unnest(words) AS word FROM w), df AS (SELECT word, count(*) AS df FROM each GROUP BY 1),
-    ranked AS (SELECT e.*, df, row_number() OVER (PARTITION BY work_id ORDER BY df, e.word) AS place FROM each e JOIN df USING (word)),
-    blocked AS (SELECT work_id, word FROM ranked WHERE df <= greatest(1.0, 0.02 * (SELECT count(*) FROM w WHERE len(words) > 0)) OR place = 1),
-    pairs AS (SELECT DISTINCT a.id, b.work_id FROM (SELECT id, unnest(words) AS word FROM c) a JOIN blocked b USING (word)),
-    s AS (SELECT p.id, p.work_id, len(list_intersect(c.words, w.words)) / least(len(c.words), len(w.words))::DOUBLE AS overlap,
-                 coalesce(len(list_filter(w.author_families, lambda f: length(f) > 2 AND contains(lower(c.claimed_author), lower(f)))) > 0, false) AS author FROM pairs p JOIN c ON c.id = p.id JOIN w ON w.work_id = p.work_id),
-    k AS (SELECT *, CASE WHEN overlap >= 0.6 AND author THEN 'verified' WHEN overlap >= 0.45 THEN 'ambiguous' END AS status, least(1.0, overlap * CASE WHEN author THEN 1.0 ELSE 0.7 END) AS confidence FROM s),
-    b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY (status = 'verified') DESC, round(confidence, 9) DESC, work_id) AS place FROM k WHERE status IS NOT NULL),
-    best AS (SELECT c.id, b.work_id, coalesce(b.status, 'not_found') AS status, round(b.overlap, 6) AS overlap, round(b.confidence, 6) AS confidence FROM citations c LEFT JOIN b ON b.id = c.id AND b.place = 1) """
+def _best(name: str, works: str, citations: str = "c") -> str:
+    """SQL of the best candidate of each citation in one source, counted over every shared word."""
+    return f""", {name}_w AS (SELECT work_id, author_families, {_words('title')} AS words FROM bib_works WHERE {works}),
+    {name}_p AS (SELECT a.id, b.work_id, count(*) AS common FROM (SELECT id, unnest(words) AS word FROM {citations}) a JOIN (SELECT work_id, unnest(words) AS word FROM {name}_w) b USING (word) GROUP BY ALL),
+    {name}_s AS (SELECT p.id, p.work_id, common / least(len(c.words), len(w.words))::DOUBLE AS overlap,
+                 coalesce(len(list_filter(w.author_families, lambda f: length(f) > 2 AND contains(lower(c.claimed_author), lower(f)))) > 0, false) AS author FROM {name}_p p JOIN c ON c.id = p.id JOIN {name}_w w ON w.work_id = p.work_id),
+    {name}_k AS (SELECT *, CASE WHEN overlap >= 0.6 AND author THEN 'verified' ELSE 'ambiguous' END AS status, least(1.0, overlap * CASE WHEN author THEN 1.0 ELSE 0.7 END) AS confidence, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, work_id) AS place FROM {name}_s WHERE overlap >= 0.45),
+    {name} AS (SELECT * FROM {name}_k WHERE place = 1)"""
+
+
+_CITED = with_views("citations") + f", c AS (SELECT id, claimed_author, {_words('claimed_source')} AS words FROM citations)"
+_ONE_SOURCE = _CITED + _best("best", "true")
+_TWO_SOURCES = (
+    _CITED
+    + _best("one", "doi IS NOT NULL")
+    + _best("two", "doi IS NULL", "(SELECT * FROM c WHERE id NOT IN (SELECT id FROM one WHERE status = 'verified'))")
+    + """, u AS (SELECT *, 'primary' AS via FROM one UNION ALL SELECT *, 'fallback' FROM two),
+       best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY status = 'verified' DESC, round(confidence, 9) DESC, via = 'primary' DESC) AS rank FROM u)"""
 )
+_FOUND = "citations.id, b.work_id, coalesce(b.status, 'not_found') AS status, round(b.overlap, 6) AS overlap, round(b.confidence, 6) AS confidence"
 
 
-@query(_BEST + "SELECT * FROM best")
+@query(_ONE_SOURCE + f" SELECT {_FOUND} FROM citations LEFT JOIN best b ON b.id = citations.id")
 def citation_match(c: Corpus) -> DataFrame:
-    return citing.best_matches(c.citations, c.raw("bib_works")).withColumns({k: F.round(k, 6) for k in ("overlap", "confidence")})
+    found = citing.best_matches(c.citations, c.raw("bib_works"))
+    return found.withColumns({k: F.round(k, 6) for k in ("overlap", "confidence")}).drop("via")
+
+
+@query(_TWO_SOURCES + f" SELECT {_FOUND}, b.via FROM citations LEFT JOIN (SELECT * FROM best WHERE rank = 1) b ON b.id = citations.id")
+def citation_resolution(c: Corpus) -> DataFrame:
+    """Works with a DOI are the first source, the others the fallback."""
+    works = c.raw("bib_works")
+    found = citing.best_matches(c.citations, works.filter("doi IS NOT NULL"), works.filter("doi IS NULL"))
+    return found.withColumns({k: F.round(k, 6) for k in ("overlap", "confidence")})
 
 
-@query(_BEST + "SELECT status, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM best), 4) AS percent FROM best GROUP BY 1")
+@query(_ONE_SOURCE + """, n AS (SELECT coalesce(b.status, 'not_found') AS status FROM citations LEFT JOIN best b ON b.id = citations.id)
+       SELECT status, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM n), 4) AS percent FROM n GROUP BY 1""")
 def citation_tally(c: Corpus) -> DataFrame:
     return citing.tally(citing.best_matches(c.citations, c.raw("bib_works")))
 
 
 @query(
     r"""SELECT id, regexp_replace(trim(short_description), '\s+', ' ', 'g') AS one_line, len(list_filter(list_transform(string_split_regex(narrative, '\n{2,}'), lambda p: trim(p)), lambda p: p <> ''))::INT AS n_paragraphs,
-       string_split_regex(trim(canonical_name), '\s+')[-1] AS surname, left(canonical_name || '. ' || short_description || ' ' || summary, 200) AS embed_text, ceil(length(summary) / 3.0)::BIGINT AS rough_tokens,
+       string_split_regex(trim(canonical_name), '\s+')[-1] AS surname, left(canonical_name || '. ' || short_description || ' ' || summary, 8000) AS embed_text, ceil(length(summary) / 3.0)::BIGINT AS rough_tokens,
        replace(entity_type, '_', ' ') AS label FROM entities"""
 )
 def text_functions(c: Corpus) -> DataFrame:
@@ -224,7 +245,7 @@ def text_functions(c: Corpus) -> DataFrame:
         text.one_line(F.col("short_description")).alias("one_line"),
         F.size(text.paragraphs(F.col("narrative"))).alias("n_paragraphs"),
         text.surname(F.col("canonical_name")).alias("surname"),
-        text.embedding_text(F.col("canonical_name"), F.col("short_description"), F.col("summary"), 200).alias("embed_text"),
+        text.embedding_text(F.col("canonical_name"), F.col("short_description"), F.col("summary")).alias("embed_text"),
         text.rough_tokens(F.col("summary")).cast("bigint").alias("rough_tokens"),
         text.humanise(F.col("entity_type")).alias("label"),
     )
