@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codexlake.runtime import file_system
+
 
 def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """existing and, of the new rows, the first of each key that is not there yet."""
@@ -21,11 +22,12 @@ def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def update(existing: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """existing with the columns of changes set where the key is found; a null change sets nothing."""
+    """existing with the columns of changes set, to null as well, where the key is found; of repeated keys in changes
+    one row counts."""
     columns = [c for c in changes.columns if c != key]
-    renamed = changes.withColumnsRenamed({c: f"__{c}" for c in columns})
+    renamed = changes.dropDuplicates([key]).select(key, F.struct(*(F.col(c).alias(c) for c in columns)).alias("__new"))
     joined = existing.join(renamed, key, "left")
-    return joined.select(*(F.coalesce(f"__{c}", c).alias(c) if c in columns else F.col(c) for c in existing.columns))
+    return joined.select(*(F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in existing.columns))
 
 
 def replace_children(existing: DataFrame, parents: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -50,20 +52,28 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def publish(tables: dict[str, DataFrame], root: str) -> str:
-    """Write all tables into a new version folder, then point CURRENT at it: readers see all of the change or none."""
+    """Write all tables into a new version folder, then point CURRENT at it: readers see all of the change or none.
+
+    The pointer is written beside and renamed over the old one by the file system that holds the tables.
+    """
+    spark = next(iter(tables.values())).sparkSession
     version = f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         df.write.parquet(f"{root}/{version}/{name}.parquet")
-    pointer = f"{root}/CURRENT.{version}"
-    with open(pointer, "w") as out:
-        json.dump({"version": version, "tables": sorted(tables)}, out)
-    os.replace(pointer, f"{root}/CURRENT")
+    system, fresh = file_system(spark, f"{root}/CURRENT.{version}")
+    out = system.create(fresh)
+    out.write(bytearray(json.dumps({"version": version, "tables": sorted(tables)}), "utf-8"))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(system.getUri()).rename(fresh, jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT"), over)
     return version
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
-    with open(f"{root}/CURRENT") as pointer:
-        return spark.read.parquet(f"{root}/{json.load(pointer)['version']}/{name}.parquet")
+    pointer = json.loads(spark.read.text(f"{root}/CURRENT", wholetext=True).first()[0])
+    return spark.read.parquet(f"{root}/{pointer['version']}/{name}.parquet")
 
 
 def snapshot(entity_ids: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import uuid
 
@@ -16,20 +18,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read; the cluster's setting wins, a local one is only made without it."""
+    """The folder every executor can read, as spark.checkpoint.dir names it.
+
+    Where it is unset, a session on one machine gets a temporary folder; a cluster's executors could not read that, so
+    there it is an error.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not configured:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="codexlake-")
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop for a path, as the JVM's objects."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+_STAGED: dict[DataFrame, str] = {}
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """df written once as a table in the shared folder and read back: cuts the lineage and survives lost executors."""
+    """df written once as a table in the shared folder and read back: cuts the lineage and survives lost executors.
+
+    The table stays until discarded() or release(), or until Python ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _STAGED[back] = path
+    return back
+
+
+def discarded(df: DataFrame) -> None:
+    """Delete a staged table that no later step reads."""
+    path = _STAGED.pop(df, None)
+    if path is not None:
+        system, target = file_system(df.sparkSession, path)
+        system.delete(target, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables staged by this session, whose results must have been taken; returns how many."""
+    own = [df for df in _STAGED if df.sparkSession.sparkContext is spark.sparkContext]
+    for df in own:
+        discarded(df)
+    return len(own)
+
+
+@atexit.register
+def _release_all() -> None:
+    for df in list(_STAGED):
+        try:
+            discarded(df)
+        except Exception:  # noqa: BLE001  the session may be gone, and its folder with it
+            _STAGED.pop(df, None)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -47,11 +95,12 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def bounded_sample(df: DataFrame, key: str, rows: int, total: int) -> DataFrame:
-    """About `rows` of `total` rows, chosen by a hash of their key, so that the same rows give the same sample anywhere."""
+    """About `rows` of `total` rows, chosen by a hash of their key, so that the same rows give the same sample anywhere;
+    never more than twice as many, however often a key is repeated."""
     if total <= rows:
         return df
-    keep = max(1, int(rows / total * 1_000_000))
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < keep)
+    chosen = F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key)), 1) < F.lit(int(rows / total * 2**63))
+    return df.filter(chosen).limit(2 * rows)
 
 
 def local_session(cpus: int = 8, partitions: int | None = None) -> SparkSession:
