@@ -22,6 +22,7 @@ BROADCAST_VERTICES = 200_000
 STRIPE_DEGREES = 0.5
 LEAF = 32
 PAIRS_AT_ONCE = 1_000_000
+SECTION_EDGES = 4_000_000
 HALF_WORLDS = (-360.0, 0.0, 360.0)
 
 
@@ -148,19 +149,24 @@ class LocalTree:
 QUERY, INDEX = 1, 2
 
 
-def near_pairs(points: DataFrame, radius_km: float, *, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: the pairs of ids at most radius_km apart along the great circle.
+def places(points: DataFrame) -> DataFrame:
+    """(id, place_id, lat, lng), once each: the usable points, those at equal coordinates under one place_id, a hash of
+    these. Rows without an id or with unusable coordinates drop out; an id at several places has a row for each."""
+    usable = usable_coordinates(points, "id", F.col("lat"), F.col("lng"))
+    return usable.select("id", F.xxhash64("lat", "lng").alias("place_id"), "lat", "lng").distinct()
+
+
+def near_places(members: DataFrame, radius_km: float, *, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(place_a, place_b), place_a < place_b, once each: the places at most radius_km apart along the great circle.
 
-    points: (id STRING, lat, lng), as usable_coordinates gives them; other columns are ignored. Rows without an id or
-    with coordinates that are null, not finite or out of range are left out. Rows that repeat an id and its coordinates
-    count once, as do pairs; an id is never paired with itself; points at the same place are pairs. An empty table
-    gives an empty result. Split planes come from a sample of sample_points rows; every row is indexed. A place that
-    planes cannot split, as many points at one spot, is dealt into blocks of query rows against blocks of index rows.
+    members: rows of places(); any number of ids at one place cost the same. Split planes come from a sample of
+    sample_points places; every place is indexed. A cell that holds far more points than the others, as points closer
+    than the sample can tell apart, is dealt into blocks of query rows against blocks of index rows.
     """
-    spark = points.sparkSession
-    points = usable_coordinates(points, "id", F.col("lat"), F.col("lng"))
-    total = points.count()
-    sample = bounded_sample(points, "id", sample_points, total).select("lat", "lng").toPandas()
+    spark = members.sparkSession
+    spots = members.select("place_id", "lat", "lng").dropDuplicates(["place_id"])
+    total = spots.count()
+    sample = bounded_sample(spots, "place_id", sample_points, total).select("lat", "lng").toPandas()
     cells = min(MAX_CELLS, max(-(-total // cell_points), min(2 * parallelism(spark), total // 500)))
     splits = Splits(unit_vectors(sample["lat"].to_numpy(), sample["lng"].to_numpy()), total, max(1, cells), cell_points)
     chord = 2 * np.sin(min(np.pi / 2, radius_km / EARTH_RADIUS_KM / 2))
@@ -169,7 +175,8 @@ def near_pairs(points: DataFrame, radius_km: float, *, sample_points: int = SAMP
         for batch in batches:
             xyz = unit_vectors(batch.column("lat").to_numpy(), batch.column("lng").to_numpy())
             at, cell, home = splits.assign(xyz, chord * (1 + 1e-9))
-            blocks, mine = splits.blocks[cell], batch.column("block").to_numpy()[at]
+            place = batch.column("place_id").to_numpy()
+            blocks, mine = splits.blocks[cell], place[at] % 1_000_000_007
             key, role, row = [cell[blocks == 1] * 1_000_000], [np.where(home, QUERY | INDEX, INDEX)[blocks == 1]], [at[blocks == 1]]
             for i in np.flatnonzero(blocks > 1):
                 n, block = int(blocks[i]), int(mine[i] % blocks[i])
@@ -178,24 +185,36 @@ def near_pairs(points: DataFrame, radius_km: float, *, sample_points: int = SAMP
                 role.append(np.array([r for _, _, r in pairs]))
                 row.append(np.full(len(pairs), at[i]))
             key, role, row = (np.concatenate(x) for x in (key, role, row))
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(role.astype(np.int32)), batch.column("id").take(pa.array(row)), pa.array(xyz[row, 0]), pa.array(xyz[row, 1]), pa.array(xyz[row, 2])], names=["key", "role", "id", "x", "y", "z"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(role.astype(np.int32)), pa.array(place[row]), pa.array(xyz[row, 0]), pa.array(xyz[row, 1]), pa.array(xyz[row, 2])], names=["key", "role", "place_id", "x", "y", "z"])
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(parts))
-        rows = rows.group_by(["id", "x", "y", "z", "role"]).aggregate([])
-        ids, role = rows.column("id").combine_chunks(), rows.column("role").to_numpy()
+        place, role = rows.column("place_id").to_numpy(), rows.column("role").to_numpy()
         xyz = np.column_stack([rows.column(c).to_numpy() for c in "xyz"])
         asked, held = np.flatnonzero(role & QUERY), np.flatnonzero(role & INDEX)
         if len(asked) and len(held):
-            rank = np.argsort(np.argsort(np.array(ids.to_pylist(), object), kind="stable"))
-            same = np.unique(np.array(ids.to_pylist(), object), return_inverse=True)[1]
             for q, p in LocalTree(xyz[held]).within(xyz[asked], chord):
-                a, b = asked[q], held[p]
-                forward = (rank[a] < rank[b]) & (same[a] != same[b])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[forward])), ids.take(pa.array(b[forward]))], names=["id_a", "id_b"])
+                a, b = place[asked[q]], place[held[p]]
+                yield pa.RecordBatch.from_arrays([pa.array(a[a < b]), pa.array(b[a < b])], names=["place_a", "place_b"])
 
-    dealt = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(1_000_000_007))).mapInArrow(deal, "key bigint, role int, id string, x double, y double, z double")
-    return dealt.groupBy("key").applyInArrow(search, "id_a string, id_b string")
+    dealt = spots.mapInArrow(deal, "key bigint, role int, place_id bigint, x double, y double, z double")
+    return dealt.groupBy("key").applyInArrow(search, "place_a bigint, place_b bigint")
+
+
+def near_pairs(points: DataFrame, radius_km: float, *, sample_points: int = SAMPLE_POINTS, cell_points: int = CELL_POINTS) -> DataFrame:
+    """(id_a, id_b), id_a < id_b, once each: the pairs of ids at most radius_km apart along the great circle.
+
+    points: (id STRING, lat, lng); other columns are ignored. Rows without an id or with coordinates that are null, not
+    finite or out of range are left out. Rows that repeat an id count once, as do ids that are near at several places;
+    an id is never paired with itself; points at the same place are pairs. An empty table gives an empty result. Places
+    are compared, not points: places() and near_places() are the same result without the pairs of ids spelled out.
+    """
+    members = places(points)
+    links = near_places(members, radius_km, sample_points=sample_points, cell_points=cell_points)
+    one, two = members.select(F.col("place_id").alias("place_a"), F.col("id").alias("x")), members.select(F.col("place_id").alias("place_b"), F.col("id").alias("y"))
+    across = links.join(one, "place_a").join(two, "place_b").filter("x <> y")
+    inside = one.join(two.withColumnRenamed("place_b", "place_a"), "place_a").filter("x < y")
+    return across.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionByName(inside.select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))).distinct()
 
 
 def edges_of(zones: list[tuple[str, list[tuple[float, float]]]]) -> tuple[list[str], np.ndarray]:
@@ -211,38 +230,66 @@ def edges_of(zones: list[tuple[str, list[tuple[float, float]]]]) -> tuple[list[s
     return names, np.array(rows, float).reshape(-1, 5)
 
 
-def sweep(lng: np.ndarray, lat: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(point, zone) pairs by a line swept over the edges: in the slab between two ends of edges the edges that it meets
-    stay the same; a point is inside a zone if an odd number of the zone's edges lie below it."""
-    if not len(edges) or not len(lng):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    x = np.concatenate([lng + turn for turn in HALF_WORLDS])
-    which, y = np.tile(np.arange(len(lng)), len(HALF_WORLDS)), np.tile(lat, len(HALF_WORLDS))
-    stops = np.unique(edges[:, [1, 3]])
-    kept = np.flatnonzero((x >= stops[0]) & (x < stops[-1]))
-    slab = np.searchsorted(stops, x[kept], "right") - 1
-    order = np.argsort(slab, kind="stable")
-    kept, slab = kept[order], slab[order]
-    edges = edges[np.lexsort((edges[:, 0], edges[:, 1]))]
-    starts = np.searchsorted(edges[:, 1], stops, "right")
-    active, taken, found = np.zeros((0, 5)), 0, []
-    ends = np.searchsorted(slab, np.arange(len(stops)), "right")
-    for s in range(len(stops) - 1):
-        active = np.concatenate((active[active[:, 3] > stops[s]], edges[taken : starts[s]]))
-        taken = starts[s]
-        own = kept[ends[s - 1] if s else 0 : ends[s]]
-        if not len(own) or not len(active):
-            continue
-        by_zone = active[np.argsort(active[:, 0], kind="stable")]
-        zones, first = np.unique(by_zone[:, 0], return_index=True)
-        slope = (by_zone[:, 4] - by_zone[:, 2]) / (by_zone[:, 3] - by_zone[:, 1])
-        step = max(1, PAIRS_AT_ONCE // len(by_zone))
-        for a in range(0, len(own), step):
-            some = own[a : a + step]
-            below = (by_zone[:, 2] + (x[some][:, None] - by_zone[:, 1]) * slope) < y[some][:, None]
-            p, z = np.nonzero(np.add.reduceat(below, first, axis=1, dtype=np.int64) & 1)
-            found.append((which[some[p]], zones[z].astype(np.int64)))
-    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+class Slabs:
+    """A line swept over the edges, prepared once: between two ends of edges, in a slab, the edges that it meets stay
+    the same; a point is inside a zone if an odd number of the zone's edges lie below it.
+
+    Slabs come in sections of at most SECTION_EDGES (slab, edge) entries, or of one slab; only sections with points are
+    visited, and one section is kept between calls.
+    """
+
+    def __init__(self, edges: np.ndarray):
+        edges = edges[np.argsort(edges[:, 0], kind="stable")]
+        self.zone, self.x, self.y = edges[:, 0].astype(np.int64), edges[:, 1], edges[:, 2]
+        self.slope = (edges[:, 4] - edges[:, 2]) / (edges[:, 3] - edges[:, 1])
+        self.stops = np.unique(edges[:, [1, 3]])
+        self.first, self.last = np.searchsorted(self.stops, edges[:, 1]), np.searchsorted(self.stops, edges[:, 3])
+        met = np.cumsum(np.bincount(self.first, minlength=len(self.stops) + 1) - np.bincount(self.last, minlength=len(self.stops) + 1))
+        self.section = np.cumsum(met) // SECTION_EDGES
+        self.kept: tuple[int, np.ndarray, np.ndarray, int] | None = None
+
+    def _entries(self, section: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """(edges by slab and zone, where each slab's begin, first slab) of a section."""
+        if self.kept is None or self.kept[0] != section:
+            lo, hi = np.searchsorted(self.section, section, "left"), np.searchsorted(self.section, section, "right")
+            first, last = np.maximum(self.first, lo), np.minimum(self.last, hi)
+            size = np.maximum(last - first, 0)
+            edge = np.repeat(np.arange(len(size)), size)
+            slab = np.repeat(first, size) + np.arange(len(edge)) - np.repeat(np.cumsum(size) - size, size)
+            order = np.argsort(slab, kind="stable")
+            self.kept = (section, edge[order], np.searchsorted(slab[order], np.arange(lo, hi + 1)), int(lo))
+        return self.kept[1:]
+
+    def holding(self, lng: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(point, zone) pairs of the zones that hold a point, at its longitude or a whole turn beside it."""
+        nothing = np.zeros(0, np.int64)
+        if not len(self.stops) or not len(lng):
+            return nothing, nothing
+        x = np.concatenate([lng + turn for turn in HALF_WORLDS])
+        which, y = np.tile(np.arange(len(lng)), len(HALF_WORLDS)), np.tile(lat, len(HALF_WORLDS))
+        slab = np.searchsorted(self.stops, x, "right") - 1
+        rows = np.flatnonzero((slab >= 0) & (slab < len(self.stops) - 1))
+        rows = rows[np.argsort(slab[rows], kind="stable")]
+        found = [(nothing, nothing)]
+        for section in np.unique(self.section[slab[rows]]):
+            edges, starts, lo = self._entries(int(section))
+            own = rows[self.section[slab[rows]] == section]
+            begin = starts[slab[own] - lo]
+            size = starts[slab[own] - lo + 1] - begin
+            ends = np.cumsum(size)
+            a = 0
+            while a < len(own):
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PAIRS_AT_ONCE, "right")))
+                n = size[a:b]
+                point = np.repeat(own[a:b], n)
+                edge = edges[np.repeat(begin[a:b], n) + np.arange(len(point)) - np.repeat(np.cumsum(n) - n, n)]
+                if len(point):
+                    below = self.y[edge] + (x[point] - self.x[edge]) * self.slope[edge] < y[point]
+                    run = np.flatnonzero(np.concatenate(([True], (point[1:] != point[:-1]) | (self.zone[edge[1:]] != self.zone[edge[:-1]]))))
+                    odd = run[np.add.reduceat(below, run, dtype=np.int64) % 2 == 1]
+                    found.append((which[point[odd]], self.zone[edge[odd]]))
+                a = b
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def points_in_regions(points: DataFrame, zones: DataFrame, *, broadcast_vertices: int = BROADCAST_VERTICES) -> DataFrame:
@@ -260,8 +307,8 @@ def points_in_regions(points: DataFrame, zones: DataFrame, *, broadcast_vertices
     corners = zones.agg(F.coalesce(F.sum(F.size("outline")), F.lit(0))).first()[0]
     schema = "id_a string, id_b string"
 
-    def inside(ids: pa.Array, lng: np.ndarray, lat: np.ndarray, names: pa.Array, edges: np.ndarray) -> pa.RecordBatch:
-        point, zone = sweep(lng, lat, edges)
+    def inside(ids: pa.Array, lng: np.ndarray, lat: np.ndarray, names: pa.Array, slabs: Slabs) -> pa.RecordBatch:
+        point, zone = slabs.holding(lng, lat)
         return pa.RecordBatch.from_arrays([ids.take(pa.array(point)), names.take(pa.array(zone))], names=["id_a", "id_b"])
 
     if corners <= broadcast_vertices:
@@ -269,8 +316,9 @@ def points_in_regions(points: DataFrame, zones: DataFrame, *, broadcast_vertices
         names, edges = edges_of(outlines)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            slabs, zone_ids = Slabs(edges), pa.array(names, pa.string())
             for batch in batches:
-                yield inside(batch.column("id"), batch.column("lng").to_numpy(), batch.column("lat").to_numpy(), pa.array(names, pa.string()), edges)
+                yield inside(batch.column("id"), batch.column("lng").to_numpy(), batch.column("lat").to_numpy(), zone_ids, slabs)
 
         return points.mapInArrow(run, schema).distinct()
 
@@ -287,7 +335,7 @@ def points_in_regions(points: DataFrame, zones: DataFrame, *, broadcast_vertices
     def meet(own: pa.Table, lines: pa.Table) -> pa.Table:
         names, zone = np.unique(np.array(lines.column("zone_id").to_pylist(), object), return_inverse=True) if lines.num_rows else (np.zeros(0, object), np.zeros(0, int))
         edges = np.column_stack([zone, *(lines.column(c).to_numpy() for c in ("x1", "y1", "x2", "y2"))]).astype(float).reshape(-1, 5)
-        return pa.Table.from_batches([inside(own.column("id").combine_chunks(), own.column("lng").to_numpy(), own.column("lat").to_numpy(), pa.array(list(names), pa.string()), edges)])
+        return pa.Table.from_batches([inside(own.column("id").combine_chunks(), own.column("lng").to_numpy(), own.column("lat").to_numpy(), pa.array(list(names), pa.string()), Slabs(edges))])
 
     return dealt.groupBy("stripe", "salt").cogroup(edge.groupBy("stripe", "salt")).applyInArrow(meet, schema).distinct()
 

@@ -66,3 +66,40 @@ def test_regions_by_both_paths(spark):
 def test_longitudes_above_180_wrap(spark):
     df = nearby.usable_coordinates(points(spark, [("a", 1.0, 190.0)]), "id", F.col("lat"), F.col("lng"))
     assert df.first().lng == -170.0
+
+
+def test_an_id_at_two_places_gives_each_pair_once(spark):
+    rows = [("a", 10.0, 10.0), ("a", 10.001, 10.0), ("b", 10.0005, 10.0), ("b", 50.0, 10.0), ("c", 50.0, 10.0), ("a", 50.0, 10.0), ("d", -10.0, 0.0)]
+    got = [tuple(r) for r in nearby.near_pairs(points(spark, rows), 2.0).collect()]
+    assert sorted(got) == [("a", "b"), ("a", "c"), ("b", "c")]
+
+
+def test_any_number_of_ids_at_one_place_are_one_place(spark):
+    rows = [(f"h{i:04}", 5.0, 5.0) for i in range(500)] + [("x", 5.001, 5.0), ("y", 6.0, 5.0)]
+    members = nearby.places(points(spark, [*rows, rows[0]]))
+    assert members.count() == 502 and members.select("place_id").distinct().count() == 3
+    assert nearby.near_places(members, 1.0).count() == 1
+
+
+def test_cells_dealt_to_blocks_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(f"h{i:03}", 5 + float(x), 5 + float(y)) for i, (x, y) in enumerate(rng.normal(0, 0.004, (150, 2)))]
+    monkeypatch.setattr(nearby, "MAX_CELLS", 2)
+    got = [tuple(r) for r in nearby.near_pairs(points(spark, rows), 1.0, cell_points=10).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 1.0)
+
+
+def test_sections_of_slabs_find_the_same(monkeypatch):
+    rng = np.random.default_rng(4)
+    zones = [(f"z{k}", [(float(10 * np.sin(t) + rng.normal()), float(k + 12 * np.cos(t))) for t in np.linspace(0, 6, 15)]) for k in range(0, 40, 4)]
+    names, edges = nearby.edges_of(zones)
+    lat, lng = rng.uniform(-12, 12, 500), rng.uniform(-20, 60, 500)
+    want = {(i, z) for i in range(500) for z, (_, shape) in enumerate(zones) if inside(lat[i], lng[i], shape)}
+    for size in (4_000_000, 50, 1):
+        monkeypatch.setattr(nearby, "SECTION_EDGES", size)
+        slabs = nearby.Slabs(edges)
+        for _ in range(2):
+            got = list(zip(*(x.tolist() for x in slabs.holding(lng, lat))))
+            assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.undo()
+    assert not len(nearby.Slabs(np.zeros((0, 5))).holding(lng, lat)[0])
