@@ -1,12 +1,12 @@
 """Texts that were cut off: a backward character n-gram model of how texts end against how they go on.
 
-The model reads a value backwards from its end. For the contexts that stand at the ends of values it counts how often
-each stands at an end and how often it stands inside a text, where the text goes on. A value is cut if the log-odds of
-end against continuation, in the longest context with enough evidence, lie below the threshold of its language and
-column.
+The model reads a value backwards from its end. For the contexts that stand at the ends of values it counts, for each
+language and column, how often each stands at an end and how often it stands inside a text, where the text goes on. A
+value is cut if the log-odds of end against continuation, in the longest context with enough evidence, lie below the
+threshold of its language and column. A longer context with evidence only from all groups together, measured against
+the average of all, counts before a shorter one of the value's own group; without any evidence a value is never cut.
 """
 
-import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -14,21 +14,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codexlake.runtime import spread
 
 from .spans import BASE, CHUNK, _powers, scramble
 
-ORDERS = (2, 3, 5, 8, 11, 15, 20, 26)
-#: A context is used if it ends at least MIN_ENDS values and one in ENDS_SHARE, more than copies of one text make up, or
-#: if texts go on after it MIN_INSIDE times and it is LONG_CONTEXT symbols long or the shortest.
-MIN_ENDS, ENDS_SHARE, LONG_CONTEXT, MIN_INSIDE = 5, 1_000, 8, 100
+ORDERS = (1, 2, 3, 5, 8, 11, 15, 20, 26)
+#: A context is used if it ends at least MIN_ENDS values of its group and one in ENDS_SHARE, more than copies of one text
+#: make up, or if the group's texts go on after it MIN_INSIDE times and it is LONG_CONTEXT symbols long or one or two.
+MIN_ENDS, ENDS_SHARE, LONG_CONTEXT, MIN_INSIDE = 5, 600, 8, 100
 #: The judged value itself is taken out of its context's ends, and this left in.
 UNSEEN_END = 0.1
-#: Contexts at fewer ends than one in MODEL_SHARE are left out, which bounds the model at MODEL_SHARE contexts an order.
-MODEL_SHARE = 200_000
+#: A context stays in the model if it ends as many values as N // MODEL_SHARE of all N or is used by its ends in a group:
+#: less than 2 * MODEL_SHARE contexts an order, and 2 * ENDS_SHARE a group and order.
+MODEL_SHARE = 500_000
+#: Languages of fewer values than one in GROUP_SHARE are judged by all groups together: at most so many groups are told apart.
+GROUP_SHARE = 10_000
+#: Counters that one task holds before it passes them on.
+COUNTERS = 8_000_000
 #: A complete value ends in a context that ends values e**MARGIN times as often as an average context of its group.
 MARGIN = 2.7
 #: What an ellipsis or broken character after the text takes from its log-odds.
@@ -92,52 +97,99 @@ def _sums(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate((np.zeros(1, np.uint64), np.cumsum(scramble(codes.astype(np.uint64) + BASE) * power[: len(codes)], dtype=np.uint64))), inverse
 
 
-def _hashes(sums: np.ndarray, inverse: np.ndarray, ends: np.ndarray, order: int, seed: np.ndarray | np.uint64) -> np.ndarray:
-    return scramble((sums[ends] - sums[ends - order]) * inverse[ends - order] + seed)
+def _hashes(sums: np.ndarray, inverse: np.ndarray, ends: np.ndarray, order: int) -> np.ndarray:
+    return scramble((sums[ends] - sums[ends - order]) * inverse[ends - order])
 
 
-def _seed(group: str) -> np.uint64:
-    return np.uint64(int.from_bytes(hashlib.blake2b(group.encode("utf-8", "replace"), digest_size=8).digest(), "little"))
-
-
-def _parts(texts: list[str], groups: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(symbols, text of each, group seed of each text) in parts of bounded size; a longer text is a part of its own."""
+def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(symbols, text of each, number of texts) in parts of bounded size; a longer text is a part of its own."""
     held: list[int] = []
     size = 0
     for i in range(len(texts) + 1):
         if held and (i == len(texts) or size + len(texts[i]) > CHUNK):
             codes = np.frombuffer("".join(texts[j] for j in held).encode("utf-32-le", "surrogatepass"), np.uint32)
             doc = np.repeat(np.arange(len(held)), [len(texts[j]) for j in held])
-            yield (*symbols(codes, doc), np.array([_seed(groups[j]) for j in held], np.uint64))
+            yield (*symbols(codes, doc), len(held))
             held, size = [], 0
         if i < len(texts):
             held.append(i)
             size += len(texts[i])
 
 
-def _end_hashes(tails: list[str], groups: list[str]) -> np.ndarray:
+def _end_hashes(tails: list[str]) -> np.ndarray:
     """(value, order) hashes of the final contexts; 0 where the value is shorter than the context."""
     out = np.zeros((len(tails), len(ORDERS)), np.uint64)
     done = 0
-    for codes, doc, seeds in _parts(tails, groups):
+    for codes, doc, n in _parts(tails):
         sums, inverse = _sums(codes)
-        first, last = np.searchsorted(doc, np.arange(len(seeds)), "left"), np.searchsorted(doc, np.arange(len(seeds)), "right")
+        first, last = np.searchsorted(doc, np.arange(n), "left"), np.searchsorted(doc, np.arange(n), "right")
         for k, order in enumerate(ORDERS):
             some = np.flatnonzero(last - first >= order)
-            out[done + some, k] = _hashes(sums, inverse, last[some], order, seeds[some])
-        done += len(seeds)
+            out[done + some, k] = _hashes(sums, inverse, last[some], order)
+        done += n
     return out
 
 
+class _Model:
+    """Log-odds of the contexts of each order, in each group and in all; `contexts` are their sorted hashes."""
+
+    def __init__(self, contexts: list[np.ndarray], sizes: np.ndarray, ends: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.contexts, self.sizes, self.ends = contexts, sizes, ends
+        self.own: list[tuple[np.ndarray, np.ndarray]] = []
+        self.all: list[np.ndarray] = []
+
+    def score(self, inside: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        """ends, inside: for each order, context, group and count; group -1 is of those that are not told apart."""
+        for k, ((at, group, n), (at_in, group_in, c_in)) in enumerate(zip(self.ends, inside)):
+            wide = len(self.contexts[k])
+            n_all, c_all = (np.bincount(x, weights=w, minlength=wide) for x, w in ((at, n), (at_in, c_in)))
+            self.all.append(self._odds(k, n_all, c_all, np.full(wide, int(self.sizes.sum()))))
+            told = np.flatnonzero(group >= 0)
+            key = group[told] * wide + at[told]
+            order = np.argsort(key)
+            told, key = told[order], key[order]
+            held = np.zeros(len(key))
+            key_in = group_in * wide + at_in
+            place = np.minimum(np.searchsorted(key, key_in), max(0, len(key) - 1))
+            match = (group_in >= 0) & (key[place] == key_in) if len(key) else np.zeros(len(key_in), bool)
+            held[place[match]] = c_in[match]
+            self.own.append((key, self._odds(k, n[told], held, self.sizes[group[told]])))
+
+    @staticmethod
+    def _odds(k: int, n: np.ndarray, c: np.ndarray, size: np.ndarray) -> np.ndarray:
+        known = (n >= np.maximum(MIN_ENDS, size // ENDS_SHARE)) | ((c >= MIN_INSIDE) & (ORDERS[k] <= 2 or ORDERS[k] >= LONG_CONTEXT))
+        return np.where(known, np.log((n - 1 + UNSEEN_END).clip(UNSEEN_END) / (c + 0.5)), np.nan)
+
+    def judge(self, found: np.ndarray, group: np.ndarray, shift: np.ndarray) -> np.ndarray:
+        """Log-odds of the longest final contexts with evidence, of its own group or else of all groups with its group's
+        shift added; nan without evidence."""
+        value = np.full(len(found), np.nan)
+        for k, h in enumerate(self.contexts):
+            if len(h):
+                at = np.minimum(np.searchsorted(h, found[:, k]), len(h) - 1)
+                known = (h[at] == found[:, k]) & (found[:, k] != 0)
+                pooled = np.where(known, self.all[k][at], np.nan)
+                value = np.where(np.isnan(pooled), value, pooled + shift[group])
+                key, odds = self.own[k]
+                if len(key):
+                    asked = group * len(h) + at
+                    place = np.minimum(np.searchsorted(key, asked), len(key) - 1)
+                    mine = np.where(known & (group >= 0) & (key[place] == asked), odds[place], np.nan)
+                    value = np.where(np.isnan(mine), value, mine)
+        return value
+
+
 def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_col: str | None = None, keep: tuple[str, ...] = (), margin: float = MARGIN) -> DataFrame:
     """(id, field, *keep, log_odds, threshold, is_cut), a row for each field of each row whose text is not null, empty or blank.
 
     log_odds are those of end against continuation in the value's final context, less MARK_WEIGHT if a cut mark follows
     the text; is_cut says that they lie below the threshold, the average log-odds of the value's language and column
-    plus margin. Trailing white space and cut marks, however many, are no context. Language is lang_col in lower case, or one for all
-    without it; a null one is a language of its own. Every value of the table trains the model, in full, and is judged
-    by it; a null id stays null; repeated rows count and come out each; an empty table gives an empty result; other
-    columns are ignored. Only the model, of at most MODEL_SHARE contexts an order, is gathered.
+    plus margin. Trailing white space and cut marks, however many, are no context. Language is lang_col in lower case,
+    or one for all without it; a null one is a language of its own. Every value of the table trains the model, in full,
+    and is judged by it: by the longest context with evidence in its group, or a still longer one with evidence in all
+    groups together, measured against the average of all; a value without evidence is not cut, unless a mark follows it. A null id stays null; repeated rows
+    count and come out each; an empty table gives an empty result; other columns are ignored. Only the model, bounded
+    by MODEL_SHARE and GROUP_SHARE, is gathered.
     """
     spark = texts.sparkSession
     lang = F.coalesce(F.lower(F.trim(F.col(lang_col))), F.lit("")) if lang_col else F.lit("")
@@ -147,81 +199,99 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
     rows = rows.select("id", *(f"keep_{i}" for i in range(len(keep))), F.col("r.field").alias("field"), F.concat_ws("\t", "lang", "r.field").alias("group"), F.col("r.text").alias("text")).filter(F.col("text").rlike(r"\S"))
     tails = rows.withColumn("text", F.when(F.substring("text", -TAIL, TAIL).rlike(_TELLING), F.substring("text", -2 * TAIL, 2 * TAIL)).otherwise(F.col("text")))
 
+    counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    n_values = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    told = counts.filter(F.col("n") * GROUP_SHARE >= n_values).orderBy("group").collect()
+    codes = {r["group"]: i for i, r in enumerate(told)}
+    sizes = np.array([r["n"] for r in told] + [n_values - sum(r["n"] for r in told)], np.int64)
+
+    def group_codes(batch: pa.RecordBatch) -> np.ndarray:
+        return np.array([codes.get(g, -1) for g in batch.column("group").to_pylist()], np.int64)
+
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            groups = batch.column("group").to_pylist()
-            found = _end_hashes([TRAILING.sub("", t)[-TAIL:] for t in batch.column("text").to_pylist()], groups)
-            for k in range(len(ORDERS)):
-                h, n = np.unique(found[found[:, k] != 0, k], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "h", "n"])
-
-    at_ends = tails.select("group", "text").mapInArrow(ends, "k int, h bigint, n bigint").groupBy("k", "h").agg(F.sum("n").alias("n"))
-    n_values = rows.count()
-    kept = at_ends.filter(F.col("n") >= max(1, n_values // MODEL_SHARE)).toArrow()
-    k_all, h_all, n_all = kept.column("k").to_numpy(), kept.column("h").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    known = []
+            group = group_codes(batch)
+            found = _end_hashes([TRAILING.sub("", t)[-TAIL:] for t in batch.column("text").to_pylist()])
+            for g in np.unique(group):
+                for k in range(len(ORDERS)):
+                    h, n = np.unique(found[(found[:, k] != 0) & (group == g), k], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), k, np.int32)), pa.array(np.full(len(h), g, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["k", "g", "h", "n"])
+
+    at_ends = tails.select("group", "text").mapInArrow(ends, "k int, g int, h bigint, n bigint").groupBy("k", "g", "h").agg(F.sum("n").alias("n"))
+    used = F.greatest(F.lit(MIN_ENDS), F.floor(F.element_at(F.array(*map(F.lit, sizes.tolist())), F.when(F.col("g") >= 0, F.col("g") + 1).otherwise(F.lit(len(sizes)))) / ENDS_SHARE))
+    weighed = at_ends.withColumn("used", F.col("n") >= used).withColumns({"all": F.sum("n").over(Window.partitionBy("k", "h")), "any": F.max("used").over(Window.partitionBy("k", "h"))})
+    kept = weighed.filter(F.col("any") | (F.col("all") >= n_values // MODEL_SHARE)).select("k", "g", "h", "n").toArrow()
+    k_all, g_all, n_all = (kept.column(c).to_numpy() for c in ("k", "g", "n"))
+    h_all = kept.column("h").to_numpy().view(np.uint64)
+    contexts, at_end = [], []
     for k in range(len(ORDERS)):
         mine = k_all == k
-        order = np.argsort(h_all[mine])
-        known.append((h_all[mine][order], n_all[mine][order]))
-    table = spark.sparkContext.broadcast([h for h, _ in known])
+        h, at = np.unique(h_all[mine], return_inverse=True)
+        contexts.append(h)
+        at_end.append((at, g_all[mine].astype(np.int64), n_all[mine]))
+    table = spark.sparkContext.broadcast(contexts)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts = table.value
-        totals = [np.zeros(len(h), np.int64) for h in contexts]
-        sizes: dict[str, list[int]] = {}
+        totals: dict[int, list[np.ndarray]] = {}
+        symbols_of: dict[int, int] = {}
+        most = max(1, COUNTERS // max(1, sum(map(len, contexts))))
+
+        def passed_on() -> Iterator[pa.RecordBatch]:
+            for g, counted in totals.items():
+                for k, total in enumerate(counted):
+                    some = np.flatnonzero(total)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(np.full(len(some), g, np.int32)), pa.array(some), pa.array(total[some])], names=["k", "g", "at", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(symbols_of), pa.int32()), pa.array(list(symbols_of), pa.int32()), pa.array([0] * len(symbols_of), pa.int64()), pa.array(list(symbols_of.values()), pa.int64())], names=["k", "g", "at", "n"])
+            totals.clear()
+            symbols_of.clear()
+
         for batch in batches:
-            groups, whole = batch.column("group").to_pylist(), [TRAILING.sub("", t) for t in batch.column("text").to_pylist()]
-            done = 0
-            for codes, doc, seeds in _parts(whole, groups):
-                sums, inverse = _sums(codes)
-                first = np.searchsorted(doc, np.arange(len(seeds)), "left")
-                counts = np.bincount(doc, minlength=len(seeds))
-                for j, n in enumerate(counts):
-                    pair = sizes.setdefault(groups[done + j], [0, 0])
-                    pair[0], pair[1] = pair[0] + 1, pair[1] + int(n)
-                done += len(seeds)
-                end = np.flatnonzero(np.concatenate((doc[1:] == doc[:-1], [False]))) + 1
-                for k, order in enumerate(ORDERS):
-                    if not len(contexts[k]):
-                        break
-                    end = end[end - first[doc[end - 1]] >= order]
-                    h = _hashes(sums, inverse, end, order, seeds[doc[end - 1]])
-                    at = np.minimum(np.searchsorted(contexts[k], h), len(contexts[k]) - 1)
-                    hit = contexts[k][at] == h
-                    totals[k] += np.bincount(at[hit], minlength=len(contexts[k]))
-                    end = end[hit]
-        for k, total in enumerate(totals):
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array([None] * len(some), pa.string()), pa.array(some), pa.array(total[some])], names=["k", "group", "at", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1 - i for _ in sizes for i in (0, 1)], pa.int32()), pa.array([g for g in sizes for _ in (0, 1)], pa.string()), pa.array([0 for _ in sizes for _ in (0, 1)], pa.int64()), pa.array([n for g in sizes for n in sizes[g]], pa.int64())], names=["k", "group", "at", "n"])
-
-    counted = rows.select("group", "text").mapInArrow(inside, "k int, group string, at bigint, n bigint").groupBy("k", "group", "at").agg(F.sum("n").alias("n")).toArrow().to_pydict()
-    going_on = [np.zeros(len(h), np.int64) for h, _ in known]
-    average: dict[str, list[int]] = {}
-    for k, group, at, n in zip(counted["k"], counted["group"], counted["at"], counted["n"]):
-        if k >= 0:
-            going_on[k][at] = n
-        else:
-            average.setdefault(group, [0, 0])[-1 - k] = n
-    thresholds = {g: float(np.log((a + 0.5) / (b + 0.5))) + margin for g, (a, b) in average.items()}
-    scores = [np.where((n >= max(MIN_ENDS, n_values // ENDS_SHARE)) | ((c >= MIN_INSIDE) & (k == 0 or order >= LONG_CONTEXT)), np.log((n - 1 + UNSEEN_END) / (c + 0.5)), np.nan) for k, (order, (_, n), c) in enumerate(zip(ORDERS, known, going_on))]
-    model = spark.sparkContext.broadcast((scores, thresholds))
+            group, whole = group_codes(batch), [TRAILING.sub("", t) for t in batch.column("text").to_pylist()]
+            for g in np.unique(group).tolist():
+                if g not in totals and len(totals) >= most:
+                    yield from passed_on()
+                own = totals.setdefault(g, [np.zeros(len(h), np.int64) for h in contexts])
+                for codes_in, doc, n in _parts([whole[i] for i in np.flatnonzero(group == g)]):
+                    sums, inverse = _sums(codes_in)
+                    first = np.searchsorted(doc, np.arange(n), "left")
+                    symbols_of[g] = symbols_of.get(g, 0) + len(doc)
+                    end = np.flatnonzero(np.concatenate((doc[1:] == doc[:-1], [False]))) + 1
+                    symbol, often = np.unique(codes_in[end - 1], return_counts=True)
+                    one, inverse_one = _sums(symbol)
+                    h = _hashes(one, inverse_one, np.arange(1, len(symbol) + 1), 1)
+                    at = np.minimum(np.searchsorted(contexts[0], h), len(contexts[0]) - 1)
+                    hit = contexts[0][at] == h
+                    own[0][at[hit]] += often[hit]
+                    for k, order in enumerate(ORDERS[1:], 1):
+                        if not len(contexts[k]):
+                            break
+                        end = end[end - first[doc[end - 1]] >= order]
+                        h = _hashes(sums, inverse, end, order)
+                        at = np.minimum(np.searchsorted(contexts[k], h), len(contexts[k]) - 1)
+                        hit = contexts[k][at] == h
+                        own[k] += np.bincount(at[hit], minlength=len(contexts[k]))
+                        end = end[hit]
+        yield from passed_on()
+
+    counted = rows.select("group", "text").mapInArrow(inside, "k int, g int, at bigint, n bigint").groupBy("k", "g", "at").agg(F.sum("n").alias("n")).toArrow()
+    k_in, g_in, at_in, n_in = (counted.column(c).to_numpy() for c in ("k", "g", "at", "n"))
+    model = _Model(contexts, sizes, at_end)
+    model.score([(at_in[k_in == k], g_in[k_in == k].astype(np.int64), n_in[k_in == k]) for k in range(len(ORDERS))])
+    symbols_in = dict(zip(g_in[k_in == -1].tolist(), n_in[k_in == -1].tolist()))
+    every = float(np.log((n_values + 0.5) / (sum(symbols_in.values()) + 0.5))) + margin
+    limits = np.array([float(np.log((n + 0.5) / (symbols_in.get(g, 0) + 0.5))) + margin for g, n in enumerate(sizes[:-1])] + [every])
+    shared = spark.sparkContext.broadcast((model, limits))
     out_schema = tails.drop("text", "group").withColumns({"log_odds": F.lit(0.0), "threshold": F.lit(0.0)}).schema
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        contexts, (scores, thresholds) = table.value, model.value
+        model, limits = shared.value
         for batch in batches:
-            groups, raw = batch.column("group").to_pylist(), batch.column("text").to_pylist()
+            group, raw = group_codes(batch), batch.column("text").to_pylist()
             bare = [TRAILING.sub("", t) for t in raw]
-            found, value = _end_hashes([b[-TAIL:] for b in bare], groups), np.full(len(raw), np.nan)
-            for k, h in enumerate(contexts):
-                if len(h):
-                    at = np.minimum(np.searchsorted(h, found[:, k]), len(h) - 1)
-                    own = np.where((h[at] == found[:, k]) & (found[:, k] != 0), scores[k][at], np.nan)
-                    value = np.where(np.isnan(own), value, own)
-            limit = np.array([thresholds[g] for g in groups])
-            value = np.where(np.isnan(value), limit - 1.0, value)
+            limit = limits[group]
+            value = model.judge(_end_hashes([b[-TAIL:] for b in bare]), group, limits - limits[-1])
+            value = np.where(np.isnan(value), limit, value)
             marked = np.array([bool(t[len(b) :].strip()) for t, b in zip(raw, bare)], bool)
             value = np.where([not b for b in bare], limit, value - MARK_WEIGHT * marked)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("group", "text")), pa.array(value), pa.array(limit)], names=out_schema.names)

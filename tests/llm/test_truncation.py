@@ -62,3 +62,31 @@ def test_symbols_fold_names_numbers_and_capitals():
     codes = np.frombuffer("Ann met Teloravin in 1503. B. SONS LTD.".encode("utf-32-le"), np.uint32)
     out, _ = truncation.symbols(codes, np.zeros(len(codes), int))
     assert "".join(map(chr, out)) == f"ann met {chr(truncation._NAME)} in 0000. {chr(truncation._INITIAL)}. sons ltd."
+
+
+def languages(spark, rows, extra):
+    schema = "id string, summary string, model string, lang string"
+    return spark.createDataFrame([(i, t, m, "en") for i, t, m in rows] + extra, schema)
+
+
+def test_complete_texts_of_a_rare_language_are_not_flagged(spark):
+    rows, cut = corpus(6000)
+    complete = [t for i, t, _ in rows if i not in cut][:15]
+    extra = [(f"xx{j}", t, "m", "XX ") for j, t in enumerate(complete)] + [(f"yy{j}", "¿" + "qué tal están ¡¿ " * 5 + "?", "m", None) for j in range(2)]
+    extra += [("xx-cut", rows[1][1] + " Its roads are list", "m", "xx"), ("zz-cut", rows[1][1] + " Trade with the har", "m", "zz")]
+    judged = truncation.cut_values(languages(spark, rows, extra), "id", ("summary",), lang_col="lang").collect()
+    found = {r.id for r in judged if r.is_cut}
+    assert len(found & cut) >= 0.95 * len(cut) and {"xx-cut", "zz-cut"} <= found
+    assert not [i for i in found if i[:2] in ("xx", "yy") and i != "xx-cut"]
+
+
+def test_groups_beyond_the_counters_of_a_task_count_alike(spark, monkeypatch):
+    rows, _ = corpus(600)
+    table = spark.createDataFrame([(i, t, m, f"l{int(i) % 7}") for i, t, m in rows], "id string, summary string, model string, lang string").coalesce(1)
+
+    def judged():
+        return {r.id: (round(r.log_odds, 9), r.is_cut) for r in truncation.cut_values(table, "id", ("summary",), lang_col="lang").collect()}
+
+    want = judged()
+    monkeypatch.setattr(truncation, "COUNTERS", 1)
+    assert judged() == want
