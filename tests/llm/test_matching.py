@@ -61,6 +61,55 @@ def test_long_runs_of_equal_keys_are_compared_whole(spark, chunk_keys):
     assert {i: got.get(i) for i in range(len(cases))} == {i: w for i, (_, _, w) in enumerate(cases)}
 
 
+def test_confidences_do_not_depend_on_chunks(spark):
+    works = [*CATALOGUE, *((3000 + i, f"The {a} {b} of Place{chr(97 + i % 26)}rook", ["Ordovan"], 1900 + i) for i, (a, b) in enumerate((x, y) for x in ("Silver", "Copper", "Glass") for y in ("Barges", "Dikes", "Mills", "Canals")))]
+    cases = [(t.replace("Barges", "Bargse"), f[0], None) for _, t, f, _ in works] + [(t, None, None) for _, t, _, _ in works]
+    claims = spark.createDataFrame([(i, s, a, "x", "y") for i, (s, a, _) in enumerate(cases)], CLAIMS)
+    table = spark.createDataFrame([(*w, "x", "y") for w in works], WORKS)
+    got = [{(r.citation_id, r.work_id): r.confidence for r in matching.match(claims, table, chunk_keys=n).collect()} for n in (200_000, 100, 30)]
+    assert len(got[0]) > 100 and got[0] == got[1] == got[2]
+
+
+def test_long_sources_have_short_keys(spark):
+    long = " ".join(f"word{i}" for i in range(3000))
+    assert max(map(len, matching.Title(long).keys(["ordovan"]))) < 200
+    assert run(spark, [(long, "Ordovan"), (long + " Silver Barges", None)], [(1, long, ["Ordovan"], 1900), (2, "Silver Barges", ["X"], 1900)])[0] == 1
+
+
+def best_total(pairs):
+    def best(rows, taken):
+        if not rows:
+            return 0.0
+        (c, own), rest = rows[0], rows[1:]
+        return max([best(rest, taken)] + [w + best(rest, taken | {x}) for x, w in own if x not in taken])
+
+    own = {}
+    for c, x, w in pairs:
+        own.setdefault(c, []).append((x, w))
+    return best(sorted(own.items()), frozenset())
+
+
+def test_assignment_has_the_greatest_total_where_greedy_loses(spark):
+    import random
+
+    schema = "citation_id bigint, work_id bigint, confidence double"
+    greedy_loses = [(1, 10, 0.95), (1, 11, 0.9), (2, 10, 0.94)]
+    got = {(r.citation_id, r.work_id) for r in matching.assigned(spark.createDataFrame(greedy_loses, schema)).collect()}
+    assert got == {(1, 11), (2, 10)}
+    rng = random.Random(5)
+    pairs = [(c, w, round(rng.uniform(0.3, 1), 3)) for c in range(9) for w in rng.sample(range(7), 3)]
+    rows = matching.assigned(spark.createDataFrame([*pairs, (None, 1, 1.0), (1, None, 1.0)], schema)).collect()
+    assert len({r.citation_id for r in rows}) == len({r.work_id for r in rows}) == len(rows)
+    assert sum(r.confidence for r in rows) >= best_total(pairs) - matching.BID * len(rows)
+    assert matching.assigned(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_one_to_one_gives_each_work_once(spark):
+    cases = [("The Humid Tunnels of Korukirack", "Mirubin", 1), ("The Humid Tunels of Korukirack", "Mirubin", 1), ("A History of Volentifell and its Ballads", "Valagni", 2)]
+    got = run(spark, cases, one_to_one=True)
+    assert got == {0: 1, 2: 2}
+
+
 def test_empty_sides(spark):
     assert run(spark, CASES, []) == {}
     claims = spark.createDataFrame([], CLAIMS)
