@@ -1,9 +1,10 @@
 """The most similar vectors of every vector by collision counting.
 
 Pivots fitted on a bounded sample deal the vectors to cells; each vector is asked about in its nearest cell and held in
-its nearest few. Inside a cell every random projection keeps one sorted array. A query opens a window around its own
-value in each array; vectors that fall into enough windows are verified by their true similarity; unless the k best
-found lie within the current radius, the windows widen (virtual rehashing) and the count is repeated.
+its nearest few. Where cells come out too large, each gets pivots of its own, fitted in parallel, and is dealt again.
+Inside a cell every random projection keeps one sorted array. A query opens a window around its own value in each array;
+vectors that fall into enough windows, and only these, are verified by their true similarity; unless the k best found
+lie within the current radius, the windows widen (virtual rehashing) and the vectors that then collide are verified too.
 """
 
 from bisect import insort
@@ -11,23 +12,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.runtime import bounded_sample, spread
+from codexlake.runtime import bounded_sample, spread, staged
 
 SAMPLE_VECTORS = 8_192
-MAX_PIVOTS = 16_384
+#: Pivots of one level, one for each four sampled vectors at most.
+MAX_PIVOTS = 2_048
 CELL_VECTORS = 1_000
 HELD_IN = 2
-PROJECTIONS = 48
+#: A cell of more than FINER times CELL_VECTORS gets pivots of its own; its vectors are dealt in tasks of DEALT_AT_ONCE.
+FINER, DEALT_AT_ONCE = 4, 20_000
+PROJECTIONS = 250
 #: Half a window's width, in radii: a vector at just the radius falls into it with probability 0.85.
 HALF_WINDOW = 1.44
-#: Windows of PROJECTIONS that a vector must share; one at just the radius does with probability 0.99.
-COLLISIONS = 35
-GROWTH = 2**0.5
+#: Windows of PROJECTIONS that a vector must share; one at just the radius does with probability 0.99, one at right
+#: angles to the query, at the radius of similarity 0.6, with less than one in a million.
+COLLISIONS = 199
+GROWTH = 2**0.25
 FIRST_RADIUS = 0.6325
 QUERIES_AT_ONCE = 256
+VERIFIED_AT_ONCE = 8_192
+MAX_CELL = 65_535
+#: Different vectors whose least ids a task remembers to leave further copies out early.
+EQUAL_MEMO = 1_000_000
 
 
 def fit_pivots(sample: np.ndarray, pivots: int, rounds: int = 3) -> np.ndarray:
@@ -62,55 +72,71 @@ def unit(matrix: np.ndarray) -> np.ndarray:
 
 
 class SortedProjections:
-    """One sorted array for each projection of a cell's vectors."""
+    """One sorted array for each projection of a cell's vectors, and the rank of each vector in it."""
 
     def __init__(self, vectors: np.ndarray, lines: np.ndarray):
-        self.values = vectors @ lines
-        order = np.argsort(self.values, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.values, order, axis=0)
-        self.rank = np.empty_like(order)
-        np.put_along_axis(self.rank, order, np.arange(len(vectors))[:, None], axis=0)
+        self.values = np.ascontiguousarray((vectors @ lines).T)
+        order = np.argsort(self.values, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(self.values, order, axis=1)
+        self.rank = np.empty(order.shape, np.uint16 if len(vectors) <= MAX_CELL else np.uint32)
+        np.put_along_axis(self.rank, order, np.arange(len(vectors), dtype=self.rank.dtype)[None, :], axis=1)
 
     def collisions(self, asked: np.ndarray, half: float) -> np.ndarray:
-        """(query, vector) -> how many of the projections have the vector in the query's window of that half width."""
-        n, rows = len(self.values), np.arange(len(asked))
-        count = np.zeros((len(asked), n), np.uint8)
-        for j in range(self.sorted.shape[1]):
-            centre = self.values[asked, j]
-            edges = np.zeros((len(asked), n + 1), np.int8)
-            edges[rows, np.searchsorted(self.sorted[:, j], centre - half, "left")] += 1
-            edges[rows, np.searchsorted(self.sorted[:, j], centre + half, "right")] -= 1
-            np.cumsum(edges, axis=1, dtype=np.int8, out=edges)
-            count += np.take(edges, self.rank[:, j], axis=1).view(np.uint8)
+        """(query, vector) -> how many of the projections have the vector in the query's window of that half width.
+
+        A window is a range of ranks. Ranks of all vectors are compared with it at once, wrapping below its start; that
+        costs less than telling the ranks that a wider window adds from those it had.
+        """
+        count = np.zeros((len(asked), self.rank.shape[1]), np.uint8)
+        gap, inside = np.empty(count.shape, self.rank.dtype), np.empty(count.shape, bool)
+        for values, ordered, rank in zip(self.values, self.sorted, self.rank):
+            centre = values[asked]
+            low = np.searchsorted(ordered, centre - half, "left")
+            width = np.searchsorted(ordered, centre + half, "right") - low
+            np.subtract(rank[None, :], low[:, None].astype(rank.dtype), out=gap)
+            np.less(gap, width[:, None].astype(rank.dtype), out=inside)
+            count += inside.view(np.uint8)
         return count
 
 
-def search_cell(vectors: np.ndarray, asked: np.ndarray, k: int, lines: np.ndarray, max_radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, vector, similarity) of verified vectors, at least the k most similar within max_radius of each query."""
+def search_cell(vectors: np.ndarray, asked: np.ndarray, k: int, lines: np.ndarray, max_radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(query, vector, similarity, verified): verified vectors, at least the k most similar within max_radius that were
+    found for each query, and how many pairs were verified for it all."""
     arrays = SortedProjections(vectors, lines)
     for start in range(0, len(asked), QUERIES_AT_ONCE):
-        open_, radius = asked[start : start + QUERIES_AT_ONCE], min(FIRST_RADIUS, max_radius)
+        own = asked[start : start + QUERIES_AT_ONCE]
+        open_, radius = np.arange(len(own)), min(FIRST_RADIUS, max_radius)
+        known = np.zeros((len(own), len(vectors)), bool)
+        q, c, similar = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         while len(open_):
-            likely = arrays.collisions(open_, HALF_WINDOW * radius) >= COLLISIONS
-            columns = np.flatnonzero(likely.any(axis=0))
-            similar = np.where(likely[:, columns], vectors[open_] @ vectors[columns].T, -2.0)
-            enough = np.count_nonzero(similar >= 1 - radius * radius / 2, axis=1) >= k
-            done = enough | (radius >= max_radius)
-            best = np.argpartition(-similar, min(k, len(columns) - 1), axis=1)[:, : k + 1] if len(columns) > k + 1 else np.tile(np.arange(len(columns)), (len(open_), 1))
-            floor = np.take_along_axis(similar, best, axis=1).min(axis=1) if best.shape[1] > k else np.full(len(open_), -1.5)
-            q, c = np.nonzero((similar >= np.maximum(floor - 1e-5, -1.5)[:, None]) & done[:, None])
-            yield open_[q], columns[c], similar[q, c]
-            open_, radius = open_[~done], min(radius * GROWTH, max_radius)
-
-
-def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 1024, min_similarity: float = -1.0, held_in: int = HELD_IN, cell_vectors: int = CELL_VECTORS, sample_vectors: int = SAMPLE_VECTORS) -> DataFrame:
+            likely = (arrays.collisions(own[open_], HALF_WINDOW * radius) >= COLLISIONS) & ~known[open_]
+            new_q, new_c = np.nonzero(likely)
+            new_q = open_[new_q]
+            known[new_q, new_c] = True
+            products = [np.einsum("ij,ij->i", vectors[own[new_q[a : a + VERIFIED_AT_ONCE]]], vectors[new_c[a : a + VERIFIED_AT_ONCE]]) for a in range(0, len(new_q), VERIFIED_AT_ONCE)]
+            q, c, similar = np.concatenate((q, new_q)), np.concatenate((c, new_c)), np.concatenate((similar, *products))
+            if radius >= max_radius:
+                break
+            enough = np.bincount(q[similar >= 1 - radius * radius / 2], minlength=len(own)) >= k
+            open_, radius = open_[~enough[open_]], min(radius * GROWTH, max_radius)
+        order = np.lexsort((-similar, q))
+        q, c, similar = q[order], c[order], similar[order]
+        first = np.searchsorted(q, np.arange(len(own)), "left")
+        last = np.searchsorted(q, np.arange(len(own)), "right") - 1
+        floor = np.where(last - first >= k - 1, similar[np.clip(first + k - 1, 0, max(0, len(q) - 1))] if len(q) else 0, -2.0)
+        kept = similar >= floor[q] - 1e-5
+        yield own[q[kept]], c[kept], similar[kept], len(q)
+
+
+def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 1024, min_similarity: float = -1.0, held_in: int = HELD_IN, cell_vectors: int = CELL_VECTORS, sample_vectors: int = SAMPLE_VECTORS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(id, neighbour, similarity): the k most similar other vectors of each, by cosine, at least min_similarity.
 
     A vector is usable if it has dim elements, all finite and not all zero; other rows, and rows without an id, neither
     ask nor answer. Ties at rank k go to the smaller id. Equal vectors are asked about once and answer with their k + 1
     smallest ids, so that any number of copies costs the same; their rows each get a result. A row that repeats an id
     counts as one more copy, but an id is never its own neighbour. An empty table gives an empty result; other columns
-    are ignored. Every usable vector is indexed and asked about; the pivots come from a sample of sample_vectors.
+    are ignored. Every usable vector is indexed and asked about; the pivots come from a sample of sample_vectors, and,
+    where cells would hold more than FINER times cell_vectors, from such a sample of each cell.
     Neighbours are found with high probability, not certainty: see the measured recall in the README.
     """
     spark = vectors.sparkSession
@@ -118,12 +144,31 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     rows = spread(rows.filter(F.size("v") == dim), "id")
     total = rows.count()
     sample = bounded_sample(rows, "id", sample_vectors, total).select("v").toArrow().column("v").combine_chunks()
-    sample = sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks)
-    cells = int(np.clip(-(-total * held_in // cell_vectors), 1, MAX_PIVOTS))
-    shared = spark.sparkContext.broadcast(fit_pivots(unit(vectors_of(sample, dim)[1]), cells))
+    sample = unit(vectors_of(sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks), dim)[1])
+    cells = int(np.clip(-(-total * held_in // cell_vectors), 1, max(1, min(max_pivots, len(sample) // 4))))
+    first_pivots = fit_pivots(sample, cells)
+    cells = len(first_pivots)
+    held_at = np.argpartition(-(sample @ first_pivots.T), min(held_in, cells) - 1, axis=1)[:, : min(held_in, cells)] if len(sample) else np.zeros((0, 1), int)
+    expected = np.bincount(held_at.ravel(), minlength=cells) * (total / max(1, len(sample)))
+    finer = bool((expected > FINER * cell_vectors).any())
+    tasks = np.maximum(1, np.ceil(expected / DEALT_AT_ONCE)).astype(np.int64)
+    shared = spark.sparkContext.broadcast(first_pivots)
     max_radius = float(np.sqrt(2 - 2 * min_similarity)) * (1 + 1e-6)
     held = k + 1
 
+    def nearest_pivots(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+        """The nearest held_in pivots of each point, the nearest first."""
+        n = min(held_in, len(pivots))
+        far = -(points @ pivots.T)
+        some = np.argpartition(far, n - 1, axis=1)[:, :n]
+        return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
+
+    def packed(raw: np.ndarray) -> pa.Array:
+        return pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+
+    def unpacked(column: pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), dim)
+
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, least = shared.value, {}
         for batch in batches:
@@ -136,22 +181,39 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
                     insort(kept, own)
                     del kept[held:]
                     first.append(i)
+            if len(least) > EQUAL_MEMO:
+                least.clear()
             at, raw, key = at[first], raw[first], key[first]
             if not len(at):
                 continue
-            nearest_cells = np.argsort(-(unit(raw) @ pivots.T), axis=1, kind="stable")[:, : min(held_in, len(pivots))]
-            n = nearest_cells.shape[1]
+            cell = nearest_pivots(unit(raw), pivots)
+            n = cell.shape[1]
             row = np.repeat(np.arange(len(at)), n)
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(nearest_cells.ravel().astype(np.int32)), pa.array(np.tile(np.arange(n) == 0, len(at))), batch.column("id").take(pa.array(at[row])), pa.array(key[row]), data.take(pa.array(row))], names=["cell", "home", "id", "h", "v"])
+            salt = key[row] % tasks[cell.ravel()]
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().astype(np.int64)), pa.array(salt.astype(np.int64)), pa.array(np.tile(np.arange(n) == 0, len(at))), batch.column("id").take(pa.array(at[row])), pa.array(key[row]), packed(raw).take(pa.array(row))], names=["cell", "salt", "home", "id", "h", "v"])
+
+    def fit_own(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = pa.Table.from_batches(list(parts))
+        cell = key[0].as_py()
+        pivots = fit_pivots(unit(unpacked(part.column("v"))), int(np.clip(-(-expected[cell] * held_in // cell_vectors), 1, max(1, min(max_pivots, part.num_rows // 4)))))
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pivots), cell)), pa.array(np.full(len(pivots), tasks[cell])), packed(pivots)], names=["cell", "tasks", "p"])
+
+    def deal_again(own: pa.Table, fitted: pa.Table) -> pa.Table:
+        pivots = unpacked(fitted.column("p")) if fitted.num_rows else np.zeros((1, dim), np.float32)
+        near = nearest_pivots(unit(unpacked(own.column("v"))), pivots) if own.num_rows else np.zeros((0, 1), np.int64)
+        row = pa.array(np.repeat(np.arange(own.num_rows), near.shape[1]))
+        nearest_one = pa.array(np.tile(np.arange(near.shape[1]) == 0, own.num_rows))
+        cell = own.column("cell").to_numpy()[row.to_numpy()] * (2 * max_pivots) + near.ravel()
+        home = pc.and_(own.column("home").take(row), nearest_one)
+        return pa.table([pa.array(cell.astype(np.int64)), home, *(own.column(c).take(row) for c in ("id", "h", "v"))], names=["cell", "home", "id", "h", "v"])
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell = pa.Table.from_batches(list(parts))
         ids, h, home = np.array(cell.column("id").to_pylist(), object), cell.column("h").to_numpy(), cell.column("home").to_numpy()
-        raw = np.stack([np.frombuffer(v, np.float32) for v in cell.column("v").to_pylist()])
-        one_each = np.unique(np.array([f"{a}|{b}" for a, b in zip(h, ids)], object), return_index=True)[1]
-        ids, h, home, raw = ids[one_each], h[one_each], home[one_each], raw[one_each]
-        order = np.lexsort((ids, h))
+        raw = unpacked(cell.column("v"))
+        order = np.lexsort((~home, ids, h))
+        same = np.concatenate(([False], (h[order][1:] == h[order][:-1]) & (ids[order][1:] == ids[order][:-1])))
+        order = order[~same]
         place = np.arange(len(order)) - np.searchsorted(h[order], h[order], "left")
         kept = np.sort(order[place < held])
         first = np.sort(order[place == 0])
@@ -160,7 +222,7 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
         asked = np.searchsorted(kept, first)
         lines = np.random.default_rng(20_240_229).standard_normal((dim, PROJECTIONS), np.float32)
         unit_rows = unit(raw)
-        for q, c, _ in search_cell(unit_rows, asked, k + 1, lines, max_radius):
+        for q, c, _, _ in search_cell(unit_rows, asked, k + 1, lines, max_radius):
             exact = np.empty(len(q))
             for a in range(0, len(q), 4096):
                 x, y = raw[q[a : a + 4096]].astype(np.float64), raw[c[a : a + 4096]].astype(np.float64)
@@ -169,7 +231,14 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(h[q[use]]), pa.array(ids[c[use]], pa.string()), pa.array(exact[use])], names=["h", "neighbour", "similarity"])
 
     hashed = rows.withColumn("h", F.xxhash64("v"))
-    dealt = hashed.mapInArrow(deal, "cell int, home boolean, id string, h bigint, v binary")
+    dealt = hashed.mapInArrow(deal, "cell bigint, salt bigint, home boolean, id string, h bigint, v binary")
+    if finer:
+        keep = (sample_vectors / np.maximum(expected, sample_vectors) * 2**63).astype(object)
+        chosen = F.shiftrightunsigned(F.xxhash64(F.lit("finer"), "h"), 1) < F.element_at(F.array(*(F.lit(min(int(x), 2**63 - 1)) for x in keep)), F.col("cell").cast("int") + 1)
+        fitted = staged(dealt.filter(chosen).groupBy("cell").applyInArrow(fit_own, "cell bigint, tasks bigint, p binary"), "pivots")
+        fitted = fitted.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("tasks") - 1))).drop("tasks")
+        dealt = dealt.groupBy("cell", "salt").cogroup(fitted.groupBy("cell", "salt")).applyInArrow(deal_again, "cell bigint, home boolean, id string, h bigint, v binary")
+    dealt = dealt.select("cell", "home", "id", "h", "v")
     found = dealt.groupBy("cell").applyInArrow(search, "h bigint, neighbour string, similarity double")
     order = (F.desc("similarity"), F.asc("neighbour"))
     lists = found.distinct().withColumn("place", F.row_number().over(Window.partitionBy("h").orderBy(*order))).filter(F.col("place") <= held)

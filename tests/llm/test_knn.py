@@ -48,3 +48,45 @@ def test_few_rows_and_none(spark):
     assert knn.nearest(table(spark, [("a", np.ones(DIM))]), 3, dim=DIM).collect() == []
     got = {(r.id, r.neighbour) for r in knn.nearest(table(spark, [("a", np.ones(DIM)), ("b", np.arange(DIM) + 1.0)]), 3, dim=DIM).collect()}
     assert got == {("a", "b"), ("b", "a")}
+
+
+def clustered(rng, clusters, each, spread):
+    centres = rng.normal(size=(clusters, DIM))
+    return [(f"{k:03}-{j:03}", c + spread * rng.normal(size=DIM)) for k, c in enumerate(centres) for j in range(each)]
+
+
+def test_cells_that_come_out_too_large_are_dealt_again(spark):
+    rng = np.random.default_rng(2)
+    rows = clustered(rng, 120, 8, 0.3) + [(f"hot-{j:03}", v) for j, v in enumerate(np.repeat(rng.normal(size=(60, DIM)), 8, axis=0) * 0.5 + 2 + 0.15 * rng.normal(size=(480, DIM)))]
+    want = brute(rows, 3, 0.8)
+    for sizes in ({"cell_vectors": 60, "max_pivots": 4, "sample_vectors": 800}, {"cell_vectors": 40, "max_pivots": 6}):
+        got = {(r.id, r.neighbour) for r in knn.nearest(table(spark, rows), 3, dim=DIM, min_similarity=0.8, **sizes).collect()}
+        assert len(got & want) >= 0.9 * len(want) and len({i for i, _ in got}) >= 0.97 * len({i for i, _ in want})
+
+
+def test_few_pairs_are_verified():
+    rng = np.random.default_rng(3)
+    vectors = knn.unit(np.array([v for _, v in clustered(rng, 150, 6, 0.1)]) + 0.0)
+    wide = knn.unit(np.hstack([vectors, 0.02 * rng.normal(size=(len(vectors), 480))]).astype(np.float32))
+    lines = rng.standard_normal((wide.shape[1], knn.PROJECTIONS)).astype(np.float32)
+    asked = np.arange(0, len(wide), 3)
+    found, verified = set(), 0
+    for q, c, _, n in knn.search_cell(wide, asked, 6, lines, float(np.sqrt(0.8))):
+        found |= set(zip(q.tolist(), c.tolist()))
+        verified += n
+    similar = wide[asked] @ wide.T
+    top = np.argpartition(-similar, 6, axis=1)[:, :6]
+    want = {(int(asked[r]), int(c)) for r in range(len(asked)) for c in top[r] if similar[r, c] >= 0.6}
+    assert len(found & want) >= 0.99 * len(want) and verified <= 0.05 * len(asked) * len(wide)
+
+
+def test_collisions_count_windows():
+    rng = np.random.default_rng(4)
+    vectors = knn.unit(rng.normal(size=(70, DIM)))
+    lines = rng.standard_normal((DIM, 40)).astype(np.float32)
+    arrays, asked = knn.SortedProjections(vectors, lines), np.array([0, 5, 69])
+    values = vectors @ lines
+    for half in (0.05, 0.5, 3.0):
+        low, high = values[asked] - np.float32(half), values[asked] + np.float32(half)
+        want = ((values[None] >= low[:, None]) & (values[None] <= high[:, None])).sum(axis=2)
+        assert np.abs(arrays.collisions(asked, np.float32(half)).astype(int) - want).max() <= 1
