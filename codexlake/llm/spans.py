@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codexlake.runtime import parallelism, spread, staged
+from codexlake.runtime import bounded_sample, parallelism, spread, staged
 
 GRAM = 56
 #: Contexts of one anchor that one automaton may hold; anchors with more count equal windows across tasks instead.
 SHARD_CONTEXTS = 2_000
 SHARD_ROWS = 4_000
+#: Anchors in at least one in HOT_SHARE of SAMPLE_TEXTS texts, as those of a header that many carry, are hot: known to be
+#: shared, they are dealt by text over SALTS tasks.
+SAMPLE_TEXTS, HOT_SHARE, SALTS = 4_000, 100, 64
 PIECE = 1 << 22
 CHUNK = 1 << 20
 POSITION_BITS = 26
@@ -195,6 +198,37 @@ def _window_hashes(text: str, length: int) -> np.ndarray:
     return scramble((sums[length:] - sums[:-length]) * inverse[: len(codes) - length + 1]).view(np.int64)
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, sorted by anchor, of anchors that several texts have, with whether their contexts differ.
+
+    Rows of hot anchors, which are shared anyhow, pass as they come; other anchors are held until their last row, which
+    is few texts beside all: see HOT_SHARE.
+    """
+    def judged(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, c, doc = (rows.column(k).to_numpy() for k in ("a", "c", "doc"))
+        starts = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.zeros(0, np.int64)
+        if len(starts):
+            size = np.diff(np.append(starts, len(a)))
+            shared, parts = (np.repeat(np.minimum.reduceat(x, starts) != np.maximum.reduceat(x, starts), size) for x in (doc, c))
+            yield from rows.append_column("parts", pa.array(parts)).filter(pa.array(shared)).combine_chunks().to_batches()
+
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        hot = rows.column("salt").to_numpy() > 0
+        if hot.any():
+            yield from rows.filter(pa.array(hot)).append_column("parts", pa.array(np.ones(int(hot.sum()), bool))).combine_chunks().to_batches()
+            rows = rows.filter(pa.array(~hot))
+        held = rows if held is None else pa.concat_tables([held, rows])
+        a = held.column("a").to_numpy()
+        last = int(np.searchsorted(a, a[-1], "left")) if len(a) else 0
+        if last:
+            yield from judged(held.slice(0, last))
+            held = held.slice(last)
+    if held is not None:
+        yield from judged(held)
+
+
 def shared_spans(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = 120, shard_contexts: int = SHARD_CONTEXTS) -> DataFrame:
     """(doc_id, span_start, span_end): the longest stretches of each text whose every character lies in a run of
     `length` characters that stands verbatim in the text of another id; offsets count characters, the end is exclusive.
@@ -204,25 +238,36 @@ def shared_spans(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     and shorter texts share nothing; rows with a null id are left out; texts of any length are read whole; an empty
     table gives an empty result; other columns are ignored. length must be at least GRAM. Equality is that of 64-bit
     hashes of whole contexts, and of characters inside the automata. Equal texts cost one row per anchor, however many.
+    Anchors that a sample of SAMPLE_TEXTS texts shows to be hot are spread over tasks; which are, changes no result.
     """
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
     spark = texts.sparkSession
     docs = spread(texts.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc IS NOT NULL").filter(F.length("text") >= length), "doc")
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes, part, ids, offsets in _pieces(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), length):
-                first, last, anchor, context = contexts(codes, part, length)
-                own = part[first]
-                begins = np.searchsorted(part, own, "left")
-                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64)), pa.array(ids[own]), pa.array(first - begins + offsets[own]), pa.array((last - first + 1).astype(np.int32))], names=["a", "c", "doc", "first", "windows"])
-
-    entries = docs.mapInArrow(anchors, "a bigint, c bigint, doc bigint, first bigint, windows int").repartition(parallelism(spark), "a")
-    common = entries.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min("c").alias("c0"), F.max("c").alias("c1")).filter("lo <> hi")
-    hits = staged(entries.join(common.select("a", (F.col("c0") != F.col("c1")).alias("parts")), "a"), "span-hits")
-
-    classes = hits.filter("parts").groupBy("a", "c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first", "windows")).alias("at"))
+    def anchored(texts: DataFrame, hot: np.ndarray) -> DataFrame:
+        """(a, c, doc, first, windows, salt) of the contexts of each text; the salt is 0 unless the anchor is hot."""
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for codes, part, ids, offsets in _pieces(batch.column("text").to_pylist(), batch.column("doc").to_pylist(), length):
+                    first, last, anchor, context = contexts(codes, part, length)
+                    own = part[first]
+                    begins = np.searchsorted(part, own, "left")
+                    a = anchor.view(np.int64)
+                    salt = np.where(np.isin(a, hot), 1 + scramble(ids[own].view(np.uint64)) % np.uint64(SALTS), np.uint64(0)) if len(hot) else np.zeros(len(a))
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(context.view(np.int64)), pa.array(ids[own]), pa.array(first - begins + offsets[own]), pa.array((last - first + 1).astype(np.int32)), pa.array(salt.astype(np.int32))], names=["a", "c", "doc", "first", "windows", "salt"])
+
+        return texts.mapInArrow(run, "a bigint, c bigint, doc bigint, first bigint, windows int, salt int")
+
+    total = docs.count()
+    least = max(20, min(total, SAMPLE_TEXTS) // HOT_SHARE)
+    often = anchored(bounded_sample(docs, "doc", SAMPLE_TEXTS, total), np.zeros(0, np.int64)).select("a", "doc").distinct().groupBy("a").count().filter(F.col("count") >= least)
+    hot = np.sort(often.select("a").toArrow().column("a").to_numpy())
+    entries = anchored(docs, hot).repartition("a", "salt").sortWithinPartitions("a")
+    hits = staged(entries.mapInArrow(_met, "a bigint, c bigint, doc bigint, first bigint, windows int, salt int, parts boolean"), "span-hits")
+
+    classes = hits.filter("parts").groupBy("a", "c").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "first", "windows")).alias("at"), F.max("salt").alias("hot"))
+    salt = F.explode(F.when(F.col("hot") > 0, F.sequence(F.lit(1), F.lit(SALTS))).otherwise(F.array(F.lit(0)))).alias("salt")
     located = classes.select("a", "c", "lo", "hi", F.col("at.doc").alias("doc"), F.col("at.first").alias("first"), F.col("at.windows").alias("windows"))
     sized = located.join(located.groupBy("a").agg(F.count(F.lit(1)).alias("contexts")), "a")
     read = sized.join(docs, "doc").withColumn("context", F.substring("text", F.col("first").cast("int") + 1, F.col("windows") + F.lit(length - 1)))
@@ -261,8 +306,9 @@ def shared_spans(texts: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     twice = apart.groupBy("w").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).filter("l <> h").select("w")
     counted = apart.filter("lo = hi").join(twice, "w").select("a", "c", "x", F.col("x").alias("y"))
 
-    whole = hits.join(classes.filter("lo <> hi").select("a", "c"), ["a", "c"], "left_semi").unionByName(hits.filter("NOT parts"))
-    partly = hits.filter("parts").join(matched.unionByName(counted), ["a", "c"])
+    whole = hits.filter("parts").join(classes.filter("lo <> hi").select("a", "c", salt), ["a", "c", "salt"], "left_semi").unionByName(hits.filter("NOT parts"), allowMissingColumns=True)
+    found = matched.unionByName(counted).join(classes.select("a", "c", "hot"), ["a", "c"]).select("a", "c", "x", "y", salt)
+    partly = hits.filter("parts").join(found, ["a", "c", "salt"])
     runs = whole.select("doc", F.col("first").alias("s"), (F.col("first") + F.col("windows") - 1 + length).alias("e")).unionByName(partly.select("doc", (F.col("first") + F.col("x")).alias("s"), (F.col("first") + F.col("y") + length).alias("e")))
     in_doc = Window.partitionBy("doc").orderBy("s", "e")
     marked = runs.withColumn("reach", F.max("e").over(in_doc.rowsBetween(Window.unboundedPreceding, -1))).withColumn("stretch", F.sum(F.when(F.col("s") <= F.col("reach"), 0).otherwise(1)).over(in_doc))

@@ -54,6 +54,37 @@ def test_equal_to_brute_force(spark, shard):
     assert len(got) == len(set(got)) and set(got) == brute(rows, 120)
 
 
+def test_a_header_of_many_texts_is_spread_over_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+
+    def noise(n):
+        return "".join(rng.choice(list("abcdefghij \n"), n))
+
+    header, other = noise(500), noise(200)
+    rows = [(d, (header if d % 3 == 0 else "") + noise(130) + (other[: int(rng.integers(100, 200))] if d % 20 == 0 else "")) for d in range(180)]
+    rows += [(d, header[:-1] + noise(20)) for d in range(200, 210)] + [(300, header + header), (301, noise(400)), rows[0]]
+    want = brute(rows, 120)
+    for share in (spans.HOT_SHARE, 1, 10**9):
+        monkeypatch.setattr(spans, "HOT_SHARE", share)
+        got = [tuple(r) for r in spans.shared_spans(table(spark, rows)).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_shared_anchors_are_found_alike_however_batches_are_cut():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    a = np.sort(rng.integers(-40, 40, 500))
+    salt = np.where(a == 5, rng.integers(1, 9, 500), 0)
+    columns = {"a": a, "c": rng.integers(0, 3, 500), "doc": rng.integers(0, 4, 500), "first": np.arange(500), "windows": np.ones(500, int), "salt": salt}
+    groups = {k: np.flatnonzero(a == k) for k in set(a.tolist())}
+    want = {int(i): bool(k == 5 or len(set(columns["c"][at])) > 1) for k, at in groups.items() for i in at if k == 5 or len(set(columns["doc"][at])) > 1}
+    for size in (1, 7, 64, 500):
+        batches = [pa.RecordBatch.from_pydict({k: pa.array(v[i : i + size]) for k, v in columns.items()}) for i in range(0, 500, size)]
+        out = pa.Table.from_batches(list(spans._met(iter(batches)))).to_pylist()
+        assert len(out) == len(want) and {r["first"]: r["parts"] for r in out} == want
+
+
 def test_repeated_rows_share_nothing_with_themselves(spark):
     text = "".join(np.random.default_rng(0).choice(list("abcdefgh"), 300))
     assert spans.shared_spans(table(spark, [(1, text), (1, text), (2, "x" * 200)])).collect() == []
