@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,34 +21,58 @@ POOL = 60
 SIMILAR = 0.4
 
 
+def search_text(entities: DataFrame) -> DataFrame:
+    """(id, lexeme, places ARRAY<STRUCT<position, weight>>): the search text of each entity as stemmed lexemes with their
+    positions, its fields after each other; stop words have positions but no rows. Other columns are ignored."""
+    fields = list(WEIGHTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = pa.struct([("position", pa.int32()), ("weight", pa.float64())])
+        for batch in batches:
+            ids, lexemes, places = [], [], []
+            for i, row in zip(batch.column("id").to_pylist(), zip(*(batch.column(f).to_pylist() for f in fields))):
+                for lexeme, own in stemming.positions(list(zip(row, WEIGHTS.values()))).items():
+                    ids.append(i)
+                    lexemes.append(lexeme)
+                    places.append([{"position": p, "weight": w} for p, w in own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(lexemes, pa.string()), pa.array(places, pa.list_(place))], names=["id", "lexeme", "places"])
+
+    return entities.select("id", *fields).mapInArrow(run, "id string, lexeme string, places array<struct<position: int, weight: double>>")
+
+
 def postings(entities: DataFrame) -> DataFrame:
-    """(id, lexeme, field, weight, n): how often each lexeme stands in each field."""
+    """(id, word, field, weight, n): how often each word, unstemmed and no stop word, stands in each field."""
     fields = F.array(*(F.struct(F.lit(f).alias("field"), F.lit(w).alias("weight"), text.lexemes(F.col(f)).alias("words")) for f, w in WEIGHTS.items()))
-    each = entities.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.weight", F.explode("f.words").alias("lexeme"))
-    return each.groupBy("id", "lexeme", "field", "weight").agg(F.count(F.lit(1)).alias("n"))
+    each = entities.select("id", F.explode(fields).alias("f")).select("id", "f.field", "f.weight", F.explode("f.words").alias("word"))
+    return each.groupBy("id", "word", "field", "weight").agg(F.count(F.lit(1)).alias("n"))
 
 
 def text_ranked(entities: DataFrame, query: str, limit: int = POOL) -> DataFrame:
-    """(id, text_rank): entities that hold every lexeme of the query, by the summed weights of their occurrences.
+    """(id, text_rank): the entities whose text holds every stem of the query, by cover density.
 
-    Occurrences are counted inside each row by array functions; no postings are shuffled, and only `limit` rows of each
-    task reach the merge.
+    A built-in test that each stem's beginning occurs goes first, so that Python sees few rows; it stems their words and
+    ranks them, and only `limit` rows of each task reach the merge. A query of stop words alone finds nothing; null
+    fields hold no words; equal ranks go by id.
     """
-    asked = sorted({w for w in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split() if w not in text.STOP_WORDS})
+    asked = sorted(set(stemming.stems(query)))
     if not asked:
         return entities.select("id", F.lit(0.0).alias("text_rank")).limit(0)
-    words = {f: text.lexemes(F.coalesce(f, F.lit(""))) for f in WEIGHTS}
-    held = entities.select("id", *(w.alias(f) for f, w in words.items()))
-    every = None
-    for lexeme in asked:
-        some = F.array_contains("canonical_name", lexeme) | F.array_contains("short_description", lexeme) | F.array_contains("summary", lexeme)
-        every = some if every is None else every & some
+    fields = list(WEIGHTS)
+    whole = F.lower(F.concat_ws(" ", *fields))
+    may_hold = functools.reduce(Column.__and__, (F.contains(whole, F.lit(stemming.hint(a))) for a in asked))
 
-    def occurrences(field: str) -> Column:
-        return F.size(F.filter(F.col(field), lambda w: w.isin(*asked)))
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ranks = [], []
+            for i, row in zip(batch.column("id").to_pylist(), zip(*(batch.column(f).to_pylist() for f in fields))):
+                score = stemming.cover_density(asked, list(zip(row, WEIGHTS.values())))
+                if score > 0:
+                    ids.append(i)
+                    ranks.append(round(score, 6))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ranks, pa.float64())], names=["id", "text_rank"])
 
-    rank = sum((occurrences(f) * F.lit(w) for f, w in WEIGHTS.items()), F.lit(0.0))
-    return page(held.filter(every).select("id", F.round(rank, 6).alias("text_rank")), (F.desc("text_rank"), "id"), limit)
+    ranked = entities.filter(may_hold).select("id", *fields).mapInArrow(rank, "id string, text_rank double")
+    return page(ranked, (F.desc("text_rank"), "id"), limit)
 
 
 def vector_ranked(entities: DataFrame, query: list[float], limit: int = POOL, dim: int = 1024) -> DataFrame:
@@ -112,25 +137,3 @@ def suggest(published: DataFrame, aliases: DataFrame, query: str, limit: int = 8
     contains = F.when((F.col("match") == 0) & F.col("alias_match").isNull(), F.lit(None)).otherwise(F.col("match") > 0) if nulls_as_written else F.col("match") > 0
     order = ((F.col("match") == 2).desc(), contains.desc_nulls_first(), F.desc("similarity"), F.length("canonical_name"), F.desc("consensus_score"), F.col("id"))
     return page(kept, order, limit).select(*STUB, "match", "similarity")
-
-
-def cover_ranked(entities: DataFrame, query: str, limit: int = POOL) -> DataFrame:
-    """(id, text_rank) by stemmed lexemes and cover density: every least span that holds all lexemes of the query adds
-    the harmonic mean of its weights, less the more positions of no lexeme it spans; one lexeme adds its weights."""
-    asked = sorted(set(stemming.stems(query)))
-    if not asked:
-        return entities.select("id", F.lit(0.0).alias("text_rank")).limit(0)
-    fields = list(WEIGHTS)
-
-    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = [batch.column(f).to_pylist() for f in fields]
-            ids, ranks = [], []
-            for i, row in zip(batch.column("id").to_pylist(), zip(*values)):
-                score = stemming.cover_density(asked, list(zip(row, WEIGHTS.values())))
-                if score > 0:
-                    ids.append(i)
-                    ranks.append(round(score, 6))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(ranks, pa.float64())], names=["id", "text_rank"])
-
-    return page(entities.select("id", *fields).mapInArrow(rank, "id string, text_rank double"), (F.desc("text_rank"), "id"), limit)

@@ -24,9 +24,31 @@ def _query_vector(c: Corpus) -> list[float]:
     return [float(x) for x in row[0]] if row else [0.0] * _DIM
 
 
-_TEXT = f""", w AS (SELECT id, {', '.join(f"list_filter(string_split_regex(lower({f}), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOP})) AS {f}" for f in search.WEIGHTS)} FROM published),
- ranks AS (SELECT id, round({' + '.join(f"{weight} * len(list_filter({f}, lambda x: x = 'barges'))" for f, weight in search.WEIGHTS.items())}, 6)::DOUBLE AS text_rank FROM w),
- t AS (SELECT id, text_rank FROM ranks WHERE text_rank > 0 ORDER BY text_rank DESC, id LIMIT 60)"""
+#: The words with each stem that the queries ask for, from the published algorithm.
+_BARG, _COURT = "^barg(e|es|ed|ing|edly|ingly)$", "^court(s|ed|ing|ly|edly|ingly)?$"
+_TOKENS = r"\d+(?:\.\d+)+|\p{L}[\p{L}\p{N}]*(?:-[\p{L}\p{N}]+)+|[\p{L}\p{N}]+"
+
+
+def _found(*stems: str) -> str:
+    """SQL: (id, p, w, s) of the occurrences of the words of the stems, numbered from 0, in the fields after each other."""
+    views, before = [], "0"
+    for n, (field, weight) in enumerate(search.WEIGHTS.items()):
+        each = f"regexp_extract_all(lower(coalesce({field}, '')), '{_TOKENS}')"
+        views.append(f"t{n} AS (SELECT id, flatten(list_transform({each}, lambda x: CASE WHEN contains(x, '-') THEN list_concat([x], string_split(x, '-')) ELSE [x] END)) AS words FROM published)")
+        views.append(f"l{n} AS (SELECT t{n}.id, t{n}.words, {before} AS before, coalesce(list_max(list_filter(range(1, len(t{n}.words) + 1), lambda i: t{n}.words[i] NOT IN ({_STOP}))), 0) AS last FROM t{n}{f' JOIN l{n - 1} ON l{n - 1}.id = t{n}.id' if n else ''})")
+        before = f"(CASE WHEN l{n}.last > 0 THEN l{n}.before + l{n}.last ELSE l{n}.before END)"
+    stem = "CASE " + " ".join(f"WHEN regexp_matches(word, '{pattern}') THEN {k}" for k, pattern in enumerate(stems)) + " END"
+    each = " UNION ALL ".join(f"SELECT id, before + i AS p, {weight}::DOUBLE AS w, words[i] AS word FROM (SELECT id, before, words, unnest(range(1, len(words) + 1)) AS i FROM l{n})" for n, weight in enumerate(search.WEIGHTS.values()))
+    return ", " + ", ".join(views) + f", found AS (SELECT id, p, w, {stem} AS s FROM ({each}) WHERE {stem} IS NOT NULL)"
+
+
+_TEXT = _found(_BARG) + ", t AS (SELECT id, round(sum(w), 6) AS text_rank FROM found GROUP BY id ORDER BY text_rank DESC, id LIMIT 60)"
+#: With two stems a least span that holds both lies between neighbours of different stems.
+_COVERS = (
+    _found(_BARG, _COURT)
+    + """, n AS (SELECT id, p, w, s, lag(p) OVER o AS p0, lag(w) OVER o AS w0, lag(s) OVER o AS s0 FROM found WINDOW o AS (PARTITION BY id ORDER BY p))
+       SELECT id, round(sum(2 / (1 / w + 1 / w0) / (p - p0)), 6) AS text_rank FROM n WHERE s <> s0 GROUP BY id ORDER BY text_rank DESC, id LIMIT 60"""
+)
 _VECTOR = f""", u AS (SELECT id, embedding::DOUBLE[] AS embedding FROM published WHERE {_USABLE}), q AS (SELECT embedding AS asked FROM u ORDER BY id LIMIT 1),
  v AS (SELECT id, round(1 - list_dot_product(embedding, asked) / (sqrt(list_dot_product(embedding, embedding)) * sqrt(list_dot_product(asked, asked))), 6) AS distance FROM u, q ORDER BY distance, id LIMIT 60)"""
 
@@ -53,17 +75,17 @@ def hybrid_rrf(c: Corpus) -> DataFrame:
     return stub(search.hybrid(c.published, QUERY, _query_vector(c), 10), "fused_score")
 
 
-@query()
+@query(with_views("published") + _COVERS)
 def cover_density_topk(c: Corpus) -> DataFrame:
-    return search.cover_ranked(c.published, "barges courts")
+    return search.text_ranked(c.published, "barges of the Court")
 
 
 @query(
     with_views("published")
-    + f"""SELECT id, lexeme, field, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT id, '{f}' AS field, unnest(list_filter(string_split_regex(lower({f}), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOP}))) AS lexeme FROM published" for f in search.WEIGHTS)}) GROUP BY ALL"""
+    + f"""SELECT id, word, field, count(*) AS n FROM ({' UNION ALL '.join(f"SELECT id, '{f}' AS field, unnest(list_filter(string_split_regex(lower({f}), '[^a-z0-9]+'), lambda x: x <> '' AND x NOT IN ({_STOP}))) AS word FROM published" for f in search.WEIGHTS)}) GROUP BY ALL"""
 )
 def weighted_postings(c: Corpus) -> DataFrame:
-    return search.postings(c.published).select("id", "lexeme", "field", "n")
+    return search.postings(c.published).select("id", "word", "field", "n")
 
 
 @query(
