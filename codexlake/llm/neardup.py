@@ -91,13 +91,13 @@ def _fields(texts: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame
 
 
 def _runs_to_pairs(batches: Iterator[pa.RecordBatch], threshold: float, block: int) -> Iterator[pa.RecordBatch]:
-    """(a, b, hot) from rows sorted by band: the pairs of nodes of each run of one band whose sizes allow the threshold;
-    the rows of a run longer than the block come out as (node, band, hot) instead, as they come in, unpaired."""
+    """(a, b, n) from rows sorted by band: the pairs of nodes of each run of one band whose sizes allow the threshold, n
+    null; the rows of a run longer than the block come out as (node, band, n) instead, as they come in, unpaired."""
     band, node, n = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     hot = None
 
-    def made(a: np.ndarray, b: np.ndarray, is_hot: bool) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), is_hot))], names=["a", "b", "hot"])
+    def made(a: np.ndarray, b: np.ndarray, n: np.ndarray | None = None) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64()) if n is None else pa.array(n)], names=["a", "b", "n"])
 
     for batch in _and_end(batches):
         if batch is not None:
@@ -113,7 +113,7 @@ def _runs_to_pairs(batches: Iterator[pa.RecordBatch], threshold: float, block: i
         in_long = np.repeat(long, sizes)
         rows = np.arange(whole)
         if in_long.any():
-            yield made(node[:whole][in_long], band[:whole][in_long], True)
+            yield made(node[:whole][in_long], band[:whole][in_long], n[:whole][in_long])
         hot = int(band[whole - 1]) if whole and len(long) and long[-1] and batch is not None else hot
         rows, ends = rows[~in_long], np.repeat(np.append(starts[1:], whole)[: len(sizes)], sizes)[~in_long]
         step = 1
@@ -123,7 +123,7 @@ def _runs_to_pairs(batches: Iterator[pa.RecordBatch], threshold: float, block: i
             other = rows + step
             fits = np.minimum(n[rows], n[other]) >= threshold * np.maximum(n[rows], n[other])
             if fits.any():
-                yield made(node[rows[fits]], node[other[fits]], False)
+                yield made(node[rows[fits]], node[other[fits]])
             step += 1
         band, node, n = band[whole:], node[whole:], n[whole:]
 
@@ -142,12 +142,13 @@ def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _runs_to_pairs(batches, threshold, block)
 
-    met = staged(buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(pair, "a bigint, b bigint, hot boolean"), "bands")
-    near = met.filter("NOT hot").select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
-    hot = met.filter("hot").select(F.col("b").alias("band"), F.col("a").alias("node"))
+    met = staged(buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(pair, "a bigint, b bigint, n bigint"), "bands")
+    near = met.filter("n IS NULL").select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
+    hot = met.filter("n IS NOT NULL").select(F.col("b").alias("band"), F.col("a").alias("node"), "n")
+    if hot.isEmpty():
+        return near.distinct()
     blocks = hot.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
-    sizes = buckets.select("node", "n").distinct()
-    dealt = hot.join(blocks, "band").join(sizes, "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = hot.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select(F.xxhash64("band", F.least("own", "with"), F.greatest("own", "with")).alias("cell"), "node", "n", "own", (F.col("own") == F.col("with")).alias("same"))
 
@@ -160,7 +161,7 @@ def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
 
     far = dealt.groupBy("cell").applyInArrow(across, "node bigint, other bigint")
-    return near.unionByName(far).filter("node <> other").distinct()
+    return near.unionByName(far).distinct()
 
 
 def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS) -> tuple[DataFrame, DataFrame]:
@@ -194,14 +195,14 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
             yield pa.RecordBatch.from_arrays([batch.column("field").take(rows_at), batch.column("id").take(rows_at), pa.array(key, pa.string()), pa.array(many, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["field", "id", "content", "n", "bands"])
 
     signed = staged(source.mapInArrow(sign, "field string, id string, content string, n int, bands array<bigint>"), "signatures")
-    classes = signed.groupBy("field", "content").agg(F.min("id").alias("class_id"))
-    members = signed.select("field", "id", "content").distinct().join(classes, ["field", "content"]).select("field", "id", "class_id")
-    heads = signed.join(classes.select("field", F.col("class_id").alias("id"), "content"), ["field", "id", "content"], "left_semi").dropDuplicates(["field", "id"])
-    buckets = heads.select(F.xxhash64("field", "id").alias("node"), "n", F.explode("bands").alias("band"), F.col("field"))
-    near = staged(_candidates(buckets.select("node", "n", F.xxhash64("field", "band").alias("band")), threshold, block_texts), "candidates")
+    classes = signed.groupBy("field", "content").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    members = signed.select("field", "id", "content").distinct().join(classes.select("field", "content", "class_id"), ["field", "content"]).select("field", "id", "class_id")
+    heads = classes.withColumn("node", F.xxhash64("field", "class_id"))
+    buckets = heads.select("node", "n", F.explode("bands").alias("band"), "field").select("node", "n", F.xxhash64("field", "band").alias("band"))
+    near = staged(_candidates(buckets, threshold, block_texts), "candidates")
 
     wanted = near.select("node").union(near.select("other")).distinct()
-    chosen = source.join(heads.select("field", "id", F.xxhash64("field", "id").alias("node")).join(wanted, "node", "left_semi"), ["field", "id"])
+    wanted = staged(heads.select("field", F.col("class_id").alias("id"), "node").join(wanted, "node", "left_semi"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +211,11 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("field"), batch.column("id"), lists], names=["node", "field", "id", "set"])
 
-    contents = chosen.select("node", "field", "id", "text").dropDuplicates(["node"]).mapInArrow(sets, "node bigint, field string, id string, set array<bigint>")
+    contents = source.join(wanted, ["field", "id"]).select("node", "field", "id", "text").mapInArrow(sets, "node bigint, field string, id string, set array<bigint>").dropDuplicates(["node"])
     a = contents.select("node", "field", F.col("id").alias("a"), F.col("set").alias("sa"))
-    b = contents.select(F.col("node").alias("other"), F.col("id").alias("b"), F.col("set").alias("sb"))
+    b = contents.select(F.col("node").alias("other"), F.col("field").alias("of"), F.col("id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = near.join(a, "node").join(b, "other").select("field", F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+    links = near.join(a, "node").join(b, "other").filter("field = of").select("field", F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
     links = links.withColumn("jaccard", F.col("both") / (F.col("sum") - F.col("both"))).filter(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
     return members, links.select("field", "class_a", "class_b", "jaccard")
 

@@ -94,7 +94,7 @@ def test_runs_are_paired_alike_however_batches_are_cut():
     for size in (1, 7, 33, 64, 400):
         batches = [pa.RecordBatch.from_arrays([pa.array(x[a : a + size]) for x in (band, node, n)], names=["band", "node", "n"]) for a in range(0, 400, size)]
         out = pa.Table.from_batches(list(neardup._runs_to_pairs(iter(batches), 0.5, 30))).to_pylist()
-        assert {(r["a"], r["b"]) for r in out if not r["hot"]} == want and {r["a"] for r in out if r["hot"]} == hot
+        assert {(r["a"], r["b"]) for r in out if r["n"] is None} == want and {r["a"] for r in out if r["n"] is not None} == hot
 
 
 def test_groups_are_connected_components(spark):
