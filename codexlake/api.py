@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.corpus import Corpus
-from codexlake.operators import lists, search
+from codexlake.operators import lists, mutations, queues, search
 from codexlake.schema import ENTITY_TYPES, STUB
+from codexlake.sources import readers
 from codexlake.sources.sinks import CAVEAT
 
 
@@ -78,7 +81,23 @@ class Tools:
         rows = lists.page(own, ("id",), _limit(limit, 100))
         return _answer(rows.select(F.col("claim_excerpt").alias("claim"), F.col("claimed_source").alias("source"), F.col("claimed_url").alias("url"), F.col("claimed_author").alias("author"), F.col("claim_kind").alias("kind"), F.col("verified_by_second_model").alias("verified")))
 
+    def insert_seeds(self, text: str) -> tuple[DataFrame, int]:
+        """(seed table afterwards, number of seeds added) from lines `name | hint`; names that are there, in any case, stay."""
+        spark, seeds = self.corpus.spark, self.corpus.seeds
+        lines = readers.parse_seed_lines(spark.createDataFrame([(x,) for x in text.splitlines()], "value string"))
+        made = {"name": F.col("name"), "hint": F.col("hint"), "status": F.lit("pending"), "priority": F.lit(0), "created_at": F.current_timestamp()}
+        new = lines.select(*((made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name) for f in seeds.schema), F.lower(F.trim("name")).alias("__key"))
+        after, added = mutations.inserted(seeds.withColumn("__key", F.lower(F.trim("name"))), new, ["__key"])
+        return after.drop("__key"), added
+
+    def refresh_featured(self, rotation: DataFrame, date: str, count: int = 8, draw: str = "") -> tuple[DataFrame, list[str]]:
+        """(rotation afterwards, ids of the date): published entities of consensus 0.7 or more, drawn by a hash."""
+        pool = queues.shuffled(self.corpus.published.filter(F.col("consensus_score").cast("double") >= 0.7), F.md5(F.concat(F.lit(draw + date), "id")), 4 * _limit(count, 50)).select("id", "draw")
+        after = queues.refreshed(rotation, pool, F.lit(date).cast("date"), count)
+        return after, after.filter(F.col("date") == F.lit(date).cast("date")).first()["entity_ids"]
+
     def health(self) -> dict:
+        began = time.perf_counter()
         counted = self.corpus.entities.groupBy("status").count().collect()
         last = lists.page(self.corpus.runs.filter("status = 'completed'"), (F.desc("id"),), 1).collect()
-        return {"counts": {r["status"]: r["count"] for r in counted}, "last_run": last[0].asDict() if last else None}
+        return {"counts": {r["status"]: r["count"] for r in counted}, "last_run": last[0].asDict() if last else None, "latency_ms": round(1000 * (time.perf_counter() - began))}

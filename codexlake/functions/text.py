@@ -7,6 +7,7 @@ from collections import defaultdict
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # English words that text search leaves out.
 STOP_WORDS = (
@@ -50,10 +51,33 @@ def doi_url(doi: Column) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """Without NUL characters and with invalid UTF-8 replaced."""
+    """Without NUL characters and with invalid UTF-8, as of unpaired surrogates, replaced."""
     return F.make_valid_utf8(F.regexp_replace(text, r"\x00", ""))
 
 
+def cleaned(value: Column, kind: T.DataType) -> Column:
+    """clean() on every string inside a value of the type: in arrays, structs and the values and keys of maps."""
+    if isinstance(kind, T.StringType):
+        return clean(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: cleaned(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(cleaned(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(F.transform_keys(value, lambda k, v: cleaned(k, kind.keyType)), lambda k, v: cleaned(v, kind.valueType))
+    return value
+
+
+def url_decoded(text: Column) -> Column:
+    """A URL component decoded, in which a plus sign is itself; null where it is malformed."""
+    return F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+
+
+def url_encoded(text: Column) -> Column:
+    """A text as a URL component, spaces as %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
 def embedding_text(name: Column, short: Column, summary: Column, limit: int = 8000) -> Column:
     return F.substring(F.concat_ws(" ", F.concat(name, F.lit(".")), short, summary), 1, limit)
 

@@ -25,7 +25,7 @@ def mean_if(value: Column, condition: Column) -> Column:
 
 def entity_totals(entities: DataFrame) -> DataFrame:
     """One row of all totals over entities, in one scan."""
-    published, scored = F.col("status") == "published", F.col("claim_factuality_score").isNotNull()
+    published, scored = F.col("status") == "published", F.col("claims_scored_at").isNotNull()
     return entities.agg(
         count_if(published).alias("n_published"),
         mean_if(F.col("consensus_score"), published).alias("avg_consensus"),
@@ -94,3 +94,35 @@ def drained(queue: DataFrame, cost: str, budget: float, order: tuple[str, ...])
     """Rows of a small queue, in order, while their running cost stays within the budget."""
     running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return queue.withColumn("running", F.sum(cost).over(running)).filter(F.col("running") <= budget)
+
+
+def quality_summary(entities: DataFrame, reviews: DataFrame, claims: DataFrame, citations: DataFrame, topics: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row with the whole dashboard: totals, claim verdicts, citation statuses, and the lists by type, model, topic
+    and run, as arrays of structs in their order.
+
+    Each part is aggregated or cut to its list before the one-row results meet; entities are scanned once for totals.
+    """
+    published = entities.filter(F.col("status") == "published")
+
+    def ordered(rows: DataFrame, order: tuple[Column, ...], name: str) -> DataFrame:
+        keys = [o.alias(f"k{i}") for i, o in enumerate(order)]
+        return rows.agg(F.transform(F.sort_array(F.collect_list(F.struct(*keys, F.struct(*rows.columns).alias("row")))), lambda x: x["row"]).alias(name))
+
+    n, as_struct = -F.col("n"), F.struct
+    totals = entity_totals(entities)
+    statuses = ("verified", "ambiguous", "not_found")
+    cited = citations.agg(F.count(F.lit(1)).alias("total"), *(count_if(F.col("resolution_status") == s).alias(s) for s in statuses))
+    verdicts = pivoted(claims, "verdict", ("corroborated", "uncertain", "contradicted"))
+    by_type = published.groupBy("entity_type").agg(F.avg("consensus_score").alias("avg_consensus"), F.count(F.lit(1)).alias("n"))
+    parts = [
+        reviews.agg(count_if(F.col("resolved_at").isNull()).alias("n_open_reviews")),
+        verdicts.select(as_struct(*verdicts.columns).alias("claim_verdicts")),
+        cited.select(as_struct(*cited.columns).alias("citations")),
+        ordered(by_type, (n, F.col("entity_type")), "consensus_by_type"),
+        ordered(counts(entities, "generator_model"), (n, F.col("generator_model")), "model_coverage"),
+        ordered(topic_counts(published, topics, 20), (n, F.col("topic")), "top_topics"),
+        ordered(page(runs.select("id", "model", "job_kind", "api_cost_usd", "status", "finished_at"), (F.desc("id"),), 10), (-F.col("id"),), "latest_runs"),
+    ]
+    for part in parts:
+        totals = totals.join(F.broadcast(part))
+    return totals

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.functions import text
-from codexlake.schema import FACTS, KEY_DATES, STUB
+from codexlake.schema import ENTITY_TYPES, FACTS, KEY_DATES, PUBLISHED, STUB
 
 UUID = re.compile(r"^[0-9a-f-]{36}$", re.I)
 PAGE = 30
@@ -61,12 +61,14 @@ def facts(entities: DataFrame) -> DataFrame:
 
 
 def related(edges: DataFrame, nodes: DataFrame, source: str, predicate: str | None = None, limit: int = 50) -> DataFrame:
-    """(predicate, entity STRUCT), outbound, in order of predicate and target."""
+    """(predicate, entity STRUCT), outbound, in order of predicate and target; of nodes with a status only published ones."""
+    if "status" in nodes.columns:
+        nodes = nodes.filter(F.col("status") == PUBLISHED)
     out = edges.filter(F.col("source_id") == source)
     if predicate is not None:
         out = out.filter(F.col("predicate") == predicate)
     joined = out.join(nodes.withColumnRenamed("id", "target_id"), "target_id")
-    return page(joined, ("predicate", "target_id"), limit).select("predicate", F.struct(F.col("target_id").alias("id"), "name").alias("entity"))
+    return page(joined, ("predicate", "target_id"), limit).select("predicate", F.struct(F.col("target_id").alias("id"), *(c for c in nodes.columns if c not in ("id", "status"))).alias("entity"))
 
 
 def children(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
@@ -85,6 +87,11 @@ def by_ids(published: DataFrame, ids: list[str]) -> DataFrame:
     return published.filter(F.col("id").isin(ids)).select(*STUB)
 
 
+def by_rows(entities: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stubs of the entities, of any status, whose id stands in ids: (id); a semi-join, as ids may be a table."""
+    return entities.join(ids.select("id"), "id", "left_semi").select(*STUB)
+
+
 def find(published: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
     """The published entity whose slug or name is this, else one with such an alias; the smallest id of several."""
     slug = re.sub("^-+|-+$", "", re.sub("[^a-z0-9]+", "-", name.lower()))
@@ -94,20 +101,30 @@ def find(published: DataFrame, aliases: DataFrame, name: str) -> DataFrame:
     return page(direct.unionByName(other), ("rank", "id"), 1).drop("rank")
 
 
-def sitemap(entities: DataFrame, topics: DataFrame, static: list[str], base: str = "") -> DataFrame:
-    """(url, priority, change_frequency) of fixed pages, types, entities and topics."""
-    spark = entities.sparkSession
+def sitemap(published: DataFrame, topics: DataFrame, static: dict[str, tuple[float, str]], now: Column, base: str = "") -> DataFrame:
+    """(url, last_modified, priority, change_frequency) of fixed pages, types, entities and topics.
+
+    static: path -> (priority, change frequency). Entities were last changed when updated, else when published; what has
+    no time of its own changed now.
+    """
+    spark = published.sparkSession
 
-    def rows(df: DataFrame, url: Column, priority: float, often: str) -> DataFrame:
-        return df.select(F.concat(F.lit(base), url).alias("url"), F.lit(priority).alias("priority"), F.lit(often).alias("change_frequency"))
+    def rows(df: DataFrame, url: Column, changed: Column, priority: Column, often: Column) -> DataFrame:
+        return df.select(F.concat(F.lit(base), url).alias("url"), changed.alias("last_modified"), priority.alias("priority"), often.alias("change_frequency"))
 
-    fixed = rows(spark.createDataFrame([(p,) for p in static], "p string"), F.col("p"), 1.0, "daily")
-    kinds = rows(entities.select("entity_type").distinct(), F.concat(F.lit("/browse/"), F.col("entity_type")), 0.8, "daily")
-    each = rows(entities, F.concat(F.lit("/entity/"), F.col("slug")), 0.6, "weekly")
-    named = rows(topics.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_semi").select("topic").distinct(), F.concat(F.lit("/topic/"), F.replace(F.url_encode("topic"), F.lit("+"), F.lit("%20"))), 0.5, "weekly")
+    weekly = F.lit("weekly")
+    fixed = rows(spark.createDataFrame([(p, *how) for p, how in static.items()], "p string, priority double, often string"), F.col("p"), now, F.col("priority"), F.col("often"))
+    kinds = rows(spark.createDataFrame([(t,) for t in ENTITY_TYPES], "t string"), F.concat(F.lit("/browse/"), "t"), now, F.lit(0.6), weekly)
+    each = rows(published, F.concat(F.lit("/entity/"), text.url_encoded(F.col("slug"))), F.coalesce("updated_at", "published_at", now), F.lit(0.9), weekly)
+    named = rows(topics.filter("topic IS NOT NULL").select("topic").distinct(), F.concat(F.lit("/topic/"), text.url_encoded(F.col("topic"))), now, F.lit(0.5), weekly)
     return fixed.unionByName(kinds).unionByName(each).unionByName(named)
 
 
+def latest_published(published: DataFrame, limit: int, offset: int = 0) -> DataFrame:
+    """One page of (slug, published_at, updated_at), the latest published first, those without a time before them."""
+    return page(published.select("slug", "published_at", "updated_at", "id"), (F.col("published_at").desc_nulls_first(), "id"), limit, offset).drop("id")
+
+
 def resolve_targets(edges: DataFrame, named: DataFrame) -> DataFrame:
     """(source_id, target_id, predicate): proposed edges whose target name, as a slug, is an entity's; others drop out."""
     slugged = edges.withColumn("slug", text.slugify(F.col("target_name")))

@@ -16,6 +16,12 @@ def insert_ignore(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataF
     return existing.unionByName(new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*existing.columns))
 
 
+def inserted(existing: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """(table afterwards, number of rows added) of insert_ignore."""
+    added = new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti").select(*existing.columns)
+    return existing.unionByName(added), added.count()
+
+
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """existing with rows of equal key replaced by the new ones, and the rest of the new ones added."""
     return existing.join(new.select(*keys), keys, "left_anti").select(*existing.columns).unionByName(new.select(*existing.columns))
@@ -76,16 +82,6 @@ def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{pointer['version']}/{name}.parquet")
 
 
-def snapshot(entity_ids: DataFrame, tables: dict[str, tuple[DataFrame, str]]) -> dict[str, DataFrame]:
-    """The rows of each table that belong to the entities; tables: name -> (rows, column of the entity's id)."""
-    return {name: rows.join(entity_ids.select(F.col("id").alias(key)).distinct(), key, "left_semi") for name, (rows, key) in tables.items()}
-
-
-def restore(current: dict[str, tuple[DataFrame, str]], taken: dict[str, DataFrame], entity_ids: DataFrame) -> dict[str, DataFrame]:
-    """Each table with the entities' rows as the snapshot has them."""
-    return {name: replace_children(rows, entity_ids.select(F.col("id").alias(key)), taken[name], key) for name, (rows, key) in current.items()}
-
-
 def keep_better(before: DataFrame, after: DataFrame, key: str, scores: list[str]) -> DataFrame:
     """(key, kept): whether every score after is at least that before."""
     joined = before.select(key, *(F.col(s).alias(f"b_{s}") for s in scores)).join(after.select(key, *scores), key)
@@ -93,9 +89,3 @@ def keep_better(before: DataFrame, after: DataFrame, key: str, scores: list[str]
     for s in scores:
         kept = kept & (F.col(s) >= F.col(f"b_{s}"))
     return joined.select(key, F.coalesce(kept, F.lit(False)).alias("kept"))
-
-
-def violations(entities: DataFrame, rules: dict[str, str]) -> DataFrame:
-    """(id, rule), a row for each rule, a SQL condition, that a row does not meet; an unknown outcome is a violation."""
-    checks = F.array(*(F.when(~F.coalesce(F.expr(condition), F.lit(False)), F.lit(name)) for name, condition in rules.items()))
-    return entities.select("id", F.explode(F.array_compact(checks)).alias("rule"))

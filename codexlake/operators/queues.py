@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.operators.lists import page
+from codexlake.operators.mutations import update, upsert
 from codexlake.schema import NOTES
 
 
@@ -14,12 +15,23 @@ def head(queue: DataFrame, status: str = "pending", limit: int = 1) -> DataFrame
     return page(queue.filter(F.col("status") == status), (F.desc("priority"), "id"), limit)
 
 
+def claimed(queue: DataFrame, now: Column, status: str = "pending", marked: str = "generating") -> tuple[DataFrame, DataFrame]:
+    """(row, queue afterwards): the head of the queue, and the queue with it marked and its last attempt set to now."""
+    first = head(queue, status)
+    marks = first.select("id", F.lit(marked).alias("status"), now.alias("last_attempted_at"))
+    return first, update(queue, marks, "id")
+
+
 def weakest(scored: DataFrame, score: str, below: float, limit: int) -> DataFrame:
     return page(scored.filter(F.col(score) < below), (F.col(score).asc_nulls_last(), "id"), limit)
 
 
-def oldest_unscored(entities: DataFrame, limit: int) -> DataFrame:
-    return page(entities.filter(F.col("claims_scored_at").isNull()), (F.col("created_at").asc_nulls_last(), "id"), limit)
+def oldest_unscored(entities: DataFrame, limit: int, slug: str | None = None, rescore: bool = False) -> DataFrame:
+    """The oldest entities without scores, or with any if they are to be scored again; with a slug only that entity."""
+    chosen = entities if rescore else entities.filter(F.col("claims_scored_at").isNull())
+    if slug is not None:
+        chosen = chosen.filter(F.lower("slug") == slug.lower())
+    return page(chosen, (F.col("created_at").asc_nulls_last(), "id"), limit)
 
 
 def latest(df: DataFrame, limit: int) -> DataFrame:
@@ -56,6 +68,15 @@ def recent_ids(rotation: DataFrame, since: Column) -> DataFrame:
 
 
 def rotation_of(rotation: DataFrame, date: str) -> DataFrame:
-    """Ids of the rotation of a date, else of the latest one."""
+    """(id) of the rotation of a date, else of the latest one."""
     chosen = page(rotation.withColumn("other", (F.col("date") != F.lit(date).cast("date")).cast("int")), ("other", F.desc("date")), 1)
     return chosen.select(F.explode("entity_ids").alias("id"))
+
+
+def refreshed(rotation: DataFrame, pool: DataFrame, date: Column, count: int, days: int = 7) -> DataFrame:
+    """rotation with the row of the date set to `count` ids of the pool: (id, draw), in drawn order, those first that
+    stood in no rotation of the last days."""
+    recent = recent_ids(rotation, F.date_sub(date, days))
+    picked = topped_up(pool, recent, count)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("recent", "draw", "id"))), lambda x: x["id"])
+    return upsert(rotation, picked.agg(ordered.alias("entity_ids")).select(date.alias("date"), "entity_ids"), ["date"])

@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.corpus import Corpus
-from codexlake.functions import scoring, text
-from codexlake.operators import aggregates, citing, lists, queues
+from codexlake.functions import labels, scoring, text
+from codexlake.operators import aggregates, citing, claims, queues
 from codexlake.schema import CITATION_STATUSES, CLAIM_VERDICTS, NOTES
 from codexlake.sources import readers
 from codexlake.streaming import spend
@@ -40,13 +40,48 @@ def related_topics(c: Corpus) -> DataFrame:
 
 @query(
     """SELECT count(*) FILTER (WHERE status = 'published') AS n_published, round(coalesce(avg(consensus_score::DOUBLE) FILTER (WHERE status = 'published'), 0), 6) AS avg_consensus,
-       count(*) FILTER (WHERE status = 'flagged') AS n_flagged, count(claim_factuality_score) AS n_scored, round(coalesce(avg(claim_factuality_score::DOUBLE), 0), 6) AS avg_factuality FROM entities"""
+       count(*) FILTER (WHERE status = 'flagged') AS n_flagged, count(claims_scored_at) AS n_scored, round(coalesce(avg(claim_factuality_score::DOUBLE) FILTER (WHERE claims_scored_at IS NOT NULL), 0), 6) AS avg_factuality FROM entities"""
 )
 def quality_totals(c: Corpus) -> DataFrame:
     totals = aggregates.entity_totals(c.entities)
     return totals.withColumns({k: F.round(k, 6) for k in ("avg_consensus", "avg_factuality")})
 
 
+@query(
+    with_views("published", "topics", "citations", "runs", "claims", "reviews")
+    + """SELECT (SELECT count(*) FROM published) AS n_published, (SELECT round(avg(consensus_score::DOUBLE), 6) FROM published) AS avg_consensus, (SELECT count(*) FROM entities WHERE status = 'flagged') AS n_flagged,
+         (SELECT count(claims_scored_at) FROM entities) AS n_scored, (SELECT round(avg(claim_factuality_score::DOUBLE), 6) FROM entities WHERE claims_scored_at IS NOT NULL) AS avg_factuality,
+         (SELECT count(*) FROM reviews WHERE resolved_at IS NULL) AS n_open_reviews,
+         (SELECT count(*) FILTER (WHERE verdict = 'corroborated') || '/' || count(*) FILTER (WHERE verdict = 'uncertain') || '/' || count(*) FILTER (WHERE verdict = 'contradicted') FROM claims) AS claim_verdicts,
+         (SELECT count(*) || '/' || count(*) FILTER (WHERE resolution_status = 'verified') || '/' || count(*) FILTER (WHERE resolution_status = 'ambiguous') || '/' || count(*) FILTER (WHERE resolution_status = 'not_found') FROM citations) AS citations,
+         (SELECT string_agg(entity_type || '=' || n, ',' ORDER BY n DESC, entity_type) FROM (SELECT entity_type, count(*) AS n FROM published GROUP BY 1)) AS by_type,
+         (SELECT string_agg(round(a * 1000)::INT, ',' ORDER BY n DESC, entity_type) FROM (SELECT entity_type, count(*) AS n, avg(consensus_score::DOUBLE) AS a FROM published GROUP BY 1)) AS consensus_by_type,
+         (SELECT string_agg(generator_model || '=' || n, ',' ORDER BY n DESC, generator_model) FROM (SELECT generator_model, count(*) AS n FROM entities GROUP BY 1)) AS models,
+         (SELECT string_agg(topic || '=' || n, ',' ORDER BY n DESC, topic) FROM (SELECT topic, count(*) AS n FROM topics WHERE entity_id IN (SELECT id FROM published) GROUP BY 1 ORDER BY n DESC, topic LIMIT 20)) AS top_topics,
+         (SELECT string_agg(id || ':' || status, ',' ORDER BY id DESC) FROM (SELECT id, status FROM runs ORDER BY id DESC LIMIT 10)) AS latest_runs"""
+)
+def quality_summary(c: Corpus) -> DataFrame:
+    """The whole dashboard as one record; its lists are spelled out here."""
+    found = aggregates.quality_summary(c.entities, c.reviews, c.claims, c.citations, c.topics, c.runs)
+
+    def spelled(items: str, one) -> F.Column:
+        return F.array_join(F.transform(items, one), ",")
+
+    def tallied(struct: str, *fields: str) -> F.Column:
+        return F.concat_ws("/", *(F.col(f"{struct}.{f}").cast("string") for f in fields))
+
+    return found.select(
+        "n_published", F.round("avg_consensus", 6).alias("avg_consensus"), "n_flagged", "n_scored", F.round("avg_factuality", 6).alias("avg_factuality"), "n_open_reviews",
+        tallied("claim_verdicts", "corroborated", "uncertain", "contradicted").alias("claim_verdicts"),
+        tallied("citations", "total", "verified", "ambiguous", "not_found").alias("citations"),
+        spelled("consensus_by_type", lambda x: F.concat_ws("=", x["entity_type"], x["n"].cast("string"))).alias("by_type"),
+        spelled("consensus_by_type", lambda x: F.round(x["avg_consensus"] * 1000).cast("int").cast("string")).alias("consensus_by_type"),
+        spelled("model_coverage", lambda x: F.concat_ws("=", x["generator_model"], x["n"].cast("string"))).alias("models"),
+        spelled("top_topics", lambda x: F.concat_ws("=", x["topic"], x["n"].cast("string"))).alias("top_topics"),
+        spelled("latest_runs", lambda x: F.concat_ws(":", x["id"].cast("string"), x["status"])).alias("latest_runs"),
+    )
+
+
 @query("SELECT entity_type, round(avg(consensus_score::DOUBLE), 6) AS avg_consensus, count(*) AS n FROM entities WHERE status = 'published' GROUP BY 1")
 def quality_by_type(c: Corpus) -> DataFrame:
     return c.published.groupBy("entity_type").agg(F.round(F.avg("consensus_score"), 6).alias("avg_consensus"), F.count(F.lit(1)).alias("n"))
@@ -160,6 +195,36 @@ def queue_within_budget(c: Corpus) -> DataFrame:
     return aggregates.drained(waiting, "priority", 60, ("order", "id")).select("id", "running")
 
 
+@query(
+    with_views("citations")
+    + """SELECT id, 5 AS n_samples, d AS distinct_answers, round((d - 1) / 4::DOUBLE, 6) AS entropy, CASE WHEN d >= 3 THEN 'uncertain' WHEN id % 2 = 0 THEN 'corroborated' ELSE 'contradicted' END AS verdict,
+         'answer 0' AS majority_answer, id % 2 = 0 AS agrees_with_claim FROM (SELECT id, (id % 4 + 1)::INT AS d FROM citations)"""
+)
+def claims_scored(c: Corpus) -> DataFrame:
+    """The excerpts of all citations as claims, put to a service that gives as many different answers as the id says."""
+    key = F.col("id").cast("string")
+    asked = c.citations.select("id", "entity_id", F.col("claim_excerpt").alias("claim"), key.alias("question"), F.when(F.col("id") % 2 == 0, "Answer 0!").otherwise("something else").alias("expected"))
+
+    def make():
+        def answer(questions: list[str | None]) -> list:
+            return [None if q is None else [f" Answer {max(0, k - 4 + int(q) % 4)}." for k in range(5)] for q in questions]
+
+        return answer
+
+    return claims.scored(asked, make).select("id", "n_samples", "distinct_answers", F.round("entropy", 6).alias("entropy"), "verdict", "majority_answer", "agrees_with_claim")
+
+
+@query(
+    with_views("claims")
+    + "SELECT e.id, round(CASE WHEN f.entity_id IS NULL THEN e.claim_factuality_score ELSE f.share::FLOAT END, 5) AS factuality, f.entity_id IS NOT NULL AS rescored FROM entities e LEFT JOIN (SELECT entity_id, avg((verdict = 'corroborated')::INT) AS share FROM claims GROUP BY 1) f ON f.entity_id = e.id"
+)
+def factuality_set(c: Corpus) -> DataFrame:
+    """Entities after their claims were scored."""
+    now = F.to_timestamp(F.lit("2030-01-01 00:00:00"))
+    after = claims.with_factuality(c.entities, c.claims, now)
+    return after.select("id", F.round("claim_factuality_score", 5).alias("factuality"), F.coalesce(F.col("claims_scored_at") == now, F.lit(False)).alias("rescored"))
+
+
 @query("SELECT count(*) AS n_entities, count(claim_factuality_score) AS n_scored, round(coalesce(avg(claim_factuality_score::DOUBLE), 0), 6) AS avg_factuality FROM entities")
 def scored_corpus_summary(c: Corpus) -> DataFrame:
     scored = F.col("claim_factuality_score").isNotNull()
@@ -251,6 +316,25 @@ def text_functions(c: Corpus) -> DataFrame:
     )
 
 
+@query(
+    f"""SELECT id, CASE entity_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.TYPE_LABELS.items())} END AS label, printf('%.2f', consensus_score::DOUBLE) AS consensus, printf('%.0f', round(consensus_score::DOUBLE * 100)) || '%' AS percent,
+        slug AS decoded, summary, structured_facts FROM entities"""
+)
+def labels_and_formats(c: Corpus) -> DataFrame:
+    """Labels, fixed decimals, a slug encoded and decoded, and texts sanitised inside arrays and maps after NULs were put in."""
+    spoiled = c.entities.select("id", "entity_type", F.col("consensus_score").cast("double").alias("score"), "slug", F.struct(F.array(F.concat("summary", F.lit("\x00"))).alias("texts"), F.create_map(F.lit("\x00facts"), F.col("structured_facts")).alias("facts")).alias("nested"))
+    clean = spoiled.withColumn("nested", text.cleaned(F.col("nested"), spoiled.schema["nested"].dataType))
+    return clean.select(
+        "id",
+        labels.looked_up(F.col("entity_type"), labels.TYPE_LABELS).alias("label"),
+        labels.fixed(F.col("score"), 2).alias("consensus"),
+        labels.percent(F.round(F.col("score"), 2)).alias("percent"),
+        text.url_decoded(text.url_encoded(F.col("slug"))).alias("decoded"),
+        F.get("nested.texts", F.lit(0)).alias("summary"),
+        F.col("nested.facts")["facts"].alias("structured_facts"),
+    )
+
+
 @query("SELECT work_id, 'https://doi.org/' || doi AS url, regexp_replace('https://doi.org/' || doi, '^https?://(dx\\.)?doi\\.org/', '') AS bare FROM bib_works WHERE doi IS NOT NULL")
 def doi_links(c: Corpus) -> DataFrame:
     url = text.doi_url(F.col("doi"))

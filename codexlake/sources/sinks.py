@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Fixed value: the note that goes with every answer.
+# The note that goes with every answer.
 CAVEAT = "Entries were written by models and may be wrong; check them against other sources."
 
 
