@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codexlake.functions.scoring import share
 from codexlake.operators.lists import page
+from codexlake.runtime import staged
 
 
 def counts(df: DataFrame, *by: str, limit: int | None = None) -> DataFrame:
@@ -91,9 +92,17 @@ def answer_agreement(samples: DataFrame, key: str, answer: str) -> DataFrame:
 
 
 def drained(queue: DataFrame, cost: str, budget: float, order: tuple[str, ...]) -> DataFrame:
-    """Rows of a small queue, in order, while their running cost stays within the budget."""
-    running = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return queue.withColumn("running", F.sum(cost).over(running)).filter(F.col("running") <= budget)
+    """Rows of a queue, in order, while their running cost, of costs of 0 or more, stays within the budget.
+
+    Rows are dealt to ranges of the order; each range's sum is added up, and running sums begin in each range behind
+    those before it, so that no task sees the whole queue. A null cost counts 0.
+    """
+    ranged = staged(queue.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "queue")
+    sums = ranged.groupBy("__range").agg(F.sum(cost).alias("sum"))
+    before = sums.withColumn("before", F.coalesce(F.sum("sum").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__range", "before")
+    own = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = ranged.withColumn("__own", F.coalesce(F.sum(cost).over(own), F.lit(0))).join(F.broadcast(before), "__range")
+    return summed.withColumn("running", F.col("before") + F.col("__own")).filter(F.col("running") <= budget).drop("__range", "__own", "before")
 
 
 def quality_summary(entities: DataFrame, reviews: DataFrame, claims: DataFrame, citations: DataFrame, topics: DataFrame, runs: DataFrame) -> DataFrame:

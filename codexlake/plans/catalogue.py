@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from codexlake.corpus import Corpus
 from codexlake.operators import nearby
 
-from . import listing, quality, searching  # noqa: F401  registers their queries
+from . import listing, quality, searching, tools  # noqa: F401  registers their queries
 from .registry import ORACLES, QUERIES, query
 
 P1_RADIUS_KM = 2.0
