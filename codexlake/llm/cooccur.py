@@ -12,6 +12,8 @@ from codexlake.runtime import parallelism, staged
 ITEM_BLOCK = 4096
 RECORD_BLOCK = 100_000
 PRODUCTS_AT_ONCE = 2_000_000
+#: Where there are several item blocks, baskets of at most so many items stay in one task, all their items together.
+SMALL_BASKET = 2_000
 
 
 def gram(record: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: int, n_right: int, right_record: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -43,6 +45,32 @@ def gram(record: np.ndarray, left: np.ndarray, right: np.ndarray, n_left: int, n
         a = b
 
 
+def gram_of_baskets(record: np.ndarray, item: np.ndarray, n_items: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Non-zero entries (i, j, count), i < j, of the Gram matrix of a binary sparse matrix, in parts that may repeat an
+    entry; record, item: its entries, sorted by both. Products are formed diagonal by diagonal of the baskets' items."""
+    ends = np.searchsorted(record, record, "right")
+    rows, step = np.arange(len(record)), 1
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held: list[np.ndarray] = []
+    waiting = 0
+    while True:
+        left = rows[rows + step < ends[rows]]
+        rows = left
+        held.append(item[left].astype(np.int64) * n_items + item[left + step])
+        waiting += len(left)
+        step += 1
+        if waiting > PRODUCTS_AT_ONCE or not len(left):
+            fresh, many = np.unique(np.concatenate(held), return_counts=True)
+            both, at = np.unique(np.concatenate((keys, fresh)), return_inverse=True)
+            keys, counts = both, np.bincount(at, weights=np.concatenate((counts, many)), minlength=len(both)).astype(np.int64)
+            held, waiting = [], 0
+            if len(keys) > PRODUCTS_AT_ONCE or not len(left):
+                yield keys // n_items, keys % n_items, counts
+                keys, counts = keys[:0], counts[:0]
+        if not len(left):
+            return
+
+
 def together(baskets: DataFrame, basket: str, item: str | Column, *, min_together: int = 1, min_share_of: int | None = None, min_lift: float | None = None) -> DataFrame:
     """(item_a, item_b, n_a, n_b, n_ab, n_baskets, lift), item_a < item_b in binary order, a row for each pair that meets the limits.
 
@@ -51,7 +79,9 @@ def together(baskets: DataFrame, basket: str, item: str | Column, *, min_togethe
     repeated item counts once in a basket, an empty string is an item, an empty table gives an empty result; other
     columns are ignored. Items rarer than the limits allow for any pair are dropped before the product, which loses no
     pair. Entries are dealt to (record block, item block, item block); each task sums its transpose-products and sends
-    one count a pair, so that no basket and no item is ever expanded across the network.
+    one count a pair, so that no basket and no item is ever expanded across the network. Where items fill several
+    blocks, only baskets of more than SMALL_BASKET items are dealt to pairs of blocks, a copy for each; the entries of
+    other baskets go to one task of their record block, once.
     """
     spark = baskets.sparkSession
     entries = baskets.select(F.col(basket).alias("basket"), (F.col(item) if isinstance(item, str) else item).cast("string").alias("item"))
@@ -63,10 +93,25 @@ def together(baskets: DataFrame, basket: str, item: str | Column, *, min_togethe
     item_blocks, record_blocks = max(1, -(-kept // ITEM_BLOCK)), max(parallelism(spark), -(-rows // RECORD_BLOCK))
 
     block = F.pmod(F.xxhash64("item"), F.lit(item_blocks)).cast("int")
-    dealt = entries.join(counts.select("item"), "item", "left_semi").select(F.pmod(F.xxhash64("basket"), F.lit(record_blocks)).alias("record_block"), F.xxhash64("basket").alias("record"), "item", block.alias("own"))
+    chosen = entries.join(counts.select("item"), "item", "left_semi")
+    record = (F.pmod(F.xxhash64("basket"), F.lit(record_blocks)).alias("record_block"), F.xxhash64("basket").alias("record"))
+    large = chosen
+    if item_blocks > 1:
+        chosen = staged(chosen, "baskets-kept")
+        large_baskets = chosen.groupBy("basket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SMALL_BASKET).select("basket")
+        large, small = chosen.join(large_baskets, "basket", "left_semi"), chosen.join(large_baskets, "basket", "left_anti")
+    dealt = large.select(*record, "item", block.alias("own"))
     other = F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1)))
     dealt = dealt.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
+    def multiply_small(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(parts))
+        names, code = np.unique(np.array(rows.column("item").to_pylist(), object), return_inverse=True)
+        record = rows.column("record").to_numpy()
+        order = np.lexsort((code, record))
+        for a, b, n in gram_of_baskets(record[order], code[order], len(names)):
+            yield pa.RecordBatch.from_arrays([pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(n)], names=["item_a", "item_b", "n_ab"])
+
     def multiply(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(parts))
         record, own = rows.column("record").to_numpy(), rows.column("own").to_numpy()
@@ -85,7 +130,10 @@ def together(baskets: DataFrame, basket: str, item: str | Column, *, min_togethe
             a, b, n = a[use], b[use], n[use]
             yield pa.RecordBatch.from_arrays([pa.array(names[np.minimum(a, b)], pa.string()), pa.array(names[np.maximum(a, b)], pa.string()), pa.array(n)], names=["item_a", "item_b", "n_ab"])
 
-    sums = dealt.groupBy("record_block", "i", "j").applyInArrow(multiply, "item_a string, item_b string, n_ab bigint").groupBy("item_a", "item_b").agg(F.sum("n_ab").alias("n_ab")).filter(F.col("n_ab") >= least)
+    products = dealt.groupBy("record_block", "i", "j").applyInArrow(multiply, "item_a string, item_b string, n_ab bigint")
+    if item_blocks > 1:
+        products = products.unionByName(small.select(*record, "item").groupBy("record_block").applyInArrow(multiply_small, "item_a string, item_b string, n_ab bigint"))
+    sums = products.groupBy("item_a", "item_b").agg(F.sum("n_ab").alias("n_ab")).filter(F.col("n_ab") >= least)
     result = sums.join(counts.select(F.col("item").alias("item_a"), F.col("n").alias("n_a")), "item_a").join(counts.select(F.col("item").alias("item_b"), F.col("n").alias("n_b")), "item_b")
     if min_lift is not None:
         result = result.filter(F.col("n_ab") * F.lit(n_baskets) >= F.lit(min_lift) * F.col("n_a") * F.col("n_b"))
