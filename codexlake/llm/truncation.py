@@ -7,7 +7,6 @@ threshold of its language and column. A longer context with evidence only from a
 the average of all, counts before a shorter one of the value's own group; without any evidence a value is never cut.
 """
 
-import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -38,13 +37,11 @@ COUNTERS = 8_000_000
 MARGIN = 2.7
 #: What an ellipsis or broken character after the text takes from its log-odds.
 MARK_WEIGHT = 5.0
-TAIL = 2_048
+SHORT_TAIL, TAIL = 384, 2_048
 NAME_LETTERS = 4
 
 # Marks that a transfer leaves behind where it cuts a text.
 CUT_MARKS = ("…", "...", "[...]", "[…]", "(...)", "(…)", "�")
-TRAILING = re.compile(r"(?:\s|" + "|".join(map(re.escape, sorted(CUT_MARKS, key=len, reverse=True))) + r")+$")
-
 #: In Java's syntax: a character that no trailing mark or white space has.
 _TELLING = r"(?U)[^\s\x1c-\x1f….\[\]()\ufffd]"
 
@@ -53,6 +50,23 @@ _LIMIT = 0x3000
 _LETTER, _UPPER, _NUMBER = 1, 2, 4
 
 
+_LONGEST_FIRST = sorted(CUT_MARKS, key=len, reverse=True)
+
+
+def bare(text: str) -> str:
+    """The text without the white space and cut marks at its end."""
+    end = len(text)
+    while end:
+        if text[end - 1].isspace():
+            end -= 1
+            continue
+        mark = next((m for m in _LONGEST_FIRST if text.endswith(m, 0, end)), None)
+        if mark is None:
+            break
+        end -= len(mark)
+    return text[:end]
+
+
 @lru_cache(maxsize=1)
 def _classes() -> np.ndarray:
     out = np.full(_LIMIT + 1, _LETTER, np.uint8)
@@ -116,17 +130,31 @@ def _parts(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
             size += len(texts[i])
 
 
-def _end_hashes(tails: list[str]) -> np.ndarray:
-    """(value, order) hashes of the final contexts; 0 where the value is shorter than the context."""
-    out = np.zeros((len(tails), len(ORDERS)), np.uint64)
-    done = 0
-    for codes, doc, n in _parts(tails):
-        sums, inverse = _sums(codes)
-        first, last = np.searchsorted(doc, np.arange(n), "left"), np.searchsorted(doc, np.arange(n), "right")
-        for k, order in enumerate(ORDERS):
-            some = np.flatnonzero(last - first >= order)
-            out[done + some, k] = _hashes(sums, inverse, last[some], order)
-        done += n
+def _last(text: str, size: int) -> str:
+    """The last `size` characters from a white space on, so that all their words are whole; without one all of them."""
+    if len(text) <= size:
+        return text
+    part = text[-size:]
+    return next((part[i:] for i, c in enumerate(part) if c.isspace()), part)
+
+
+def _end_hashes(texts: list[str]) -> np.ndarray:
+    """(value, order) hashes of the final contexts; 0 where the value is shorter than the context.
+
+    Contexts are read off the last SHORT_TAIL characters; where these fold to too few symbols, off the last TAIL.
+    """
+    out = np.zeros((len(texts), len(ORDERS)), np.uint64)
+    for size in (SHORT_TAIL, TAIL):
+        left = np.arange(len(texts)) if size == SHORT_TAIL else left[short]
+        short, done = np.zeros(len(left), bool), 0
+        for codes, doc, n in _parts([_last(texts[i], size) for i in left]):
+            sums, inverse = _sums(codes)
+            first, last = np.searchsorted(doc, np.arange(n), "left"), np.searchsorted(doc, np.arange(n), "right")
+            short[done : done + n] = [last[j] - first[j] < ORDERS[-1] and len(texts[left[done + j]]) > size for j in range(n)]
+            for k, order in enumerate(ORDERS):
+                some = np.flatnonzero(last - first >= order)
+                out[left[done + some], k] = _hashes(sums, inverse, last[some], order)
+            done += n
     return out
 
 
@@ -211,7 +239,7 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             group = group_codes(batch)
-            found = _end_hashes([TRAILING.sub("", t)[-TAIL:] for t in batch.column("text").to_pylist()])
+            found = _end_hashes([bare(t) for t in batch.column("text").to_pylist()])
             for g in np.unique(group):
                 for k in range(len(ORDERS)):
                     h, n = np.unique(found[(found[:, k] != 0) & (group == g), k], return_counts=True)
@@ -247,7 +275,7 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
             symbols_of.clear()
 
         for batch in batches:
-            group, whole = group_codes(batch), [TRAILING.sub("", t) for t in batch.column("text").to_pylist()]
+            group, whole = group_codes(batch), [bare(t) for t in batch.column("text").to_pylist()]
             for g in np.unique(group).tolist():
                 if g not in totals and len(totals) >= most:
                     yield from passed_on()
@@ -256,9 +284,11 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
                     sums, inverse = _sums(codes_in)
                     first = np.searchsorted(doc, np.arange(n), "left")
                     symbols_of[g] = symbols_of.get(g, 0) + len(doc)
+                    depth = np.arange(1, len(doc) + 1) - first[doc]
                     end = np.flatnonzero(np.concatenate((doc[1:] == doc[:-1], [False]))) + 1
-                    symbol, often = np.unique(codes_in[end - 1], return_counts=True)
-                    one, inverse_one = _sums(symbol)
+                    often = np.bincount(codes_in[end - 1])
+                    symbol = np.flatnonzero(often)
+                    often, (one, inverse_one) = often[symbol], _sums(symbol)
                     h = _hashes(one, inverse_one, np.arange(1, len(symbol) + 1), 1)
                     at = np.minimum(np.searchsorted(contexts[0], h), len(contexts[0]) - 1)
                     hit = contexts[0][at] == h
@@ -266,7 +296,7 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
                     for k, order in enumerate(ORDERS[1:], 1):
                         if not len(contexts[k]):
                             break
-                        end = end[end - first[doc[end - 1]] >= order]
+                        end = end[depth[end - 1] >= order]
                         h = _hashes(sums, inverse, end, order)
                         at = np.minimum(np.searchsorted(contexts[k], h), len(contexts[k]) - 1)
                         hit = contexts[k][at] == h
@@ -288,12 +318,12 @@ def cut_values(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, lang_c
         model, limits = shared.value
         for batch in batches:
             group, raw = group_codes(batch), batch.column("text").to_pylist()
-            bare = [TRAILING.sub("", t) for t in raw]
+            whole = [bare(t) for t in raw]
             limit = limits[group]
-            value = model.judge(_end_hashes([b[-TAIL:] for b in bare]), group, limits - limits[-1])
+            value = model.judge(_end_hashes(whole), group, limits - limits[-1])
             value = np.where(np.isnan(value), limit, value)
-            marked = np.array([bool(t[len(b) :].strip()) for t, b in zip(raw, bare)], bool)
-            value = np.where([not b for b in bare], limit, value - MARK_WEIGHT * marked)
+            marked = np.array([bool(t[len(b) :].strip()) for t, b in zip(raw, whole)], bool)
+            value = np.where([not b for b in whole], limit, value - MARK_WEIGHT * marked)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c not in ("group", "text")), pa.array(value), pa.array(limit)], names=out_schema.names)
 
     judged = tails.mapInArrow(judge, out_schema).withColumn("is_cut", F.col("log_odds") < F.col("threshold"))

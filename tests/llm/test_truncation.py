@@ -90,3 +90,23 @@ def test_groups_beyond_the_counters_of_a_task_count_alike(spark, monkeypatch):
     want = judged()
     monkeypatch.setattr(truncation, "COUNTERS", 1)
     assert judged() == want
+
+
+def test_trailing_marks_are_stripped_as_a_pattern_would():
+    import re
+
+    pattern = re.compile(r"(?:\s|" + "|".join(map(re.escape, sorted(truncation.CUT_MARKS, key=len, reverse=True))) + r")+$")
+    rng = np.random.default_rng(6)
+    pieces = ["a", " ", "\n", ".", "..", "...", "…", "[...]", "(…)", "[", ")", "\u00a0", "�", "b. "]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces, int(rng.integers(0, 9))))
+        assert truncation.bare(text) == pattern.sub("", text)
+
+
+def test_contexts_of_short_tails_are_those_of_whole_texts(monkeypatch):
+    rng = np.random.default_rng(7)
+    words = ["Teloravin", "in", "1503", "the", "of", "Xy", "q.", "Éclat-Monde", "w" * 300, "W" * 400]
+    texts = [" ".join(rng.choice(words, int(rng.integers(0, 400)))) for _ in range(60)] + ["", "a", "N" * 5000, " "]
+    short = truncation._end_hashes(texts)
+    monkeypatch.setattr(truncation, "SHORT_TAIL", 1_000_000)
+    assert (short == truncation._end_hashes(texts)).mean() > 0.99 and (short[:40] == truncation._end_hashes(texts)[:40]).all()
