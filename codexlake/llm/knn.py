@@ -1,7 +1,7 @@
 """The most similar vectors of every vector by collision counting.
 
 Pivots fitted on a bounded sample deal the vectors to cells; each vector is asked about in its nearest cell and held in
-its nearest few. Where cells come out too large, each gets pivots of its own, fitted in parallel, and is dealt again.
+its nearest few, or in more of either where a measurement shows that neighbours would part. Where cells come out too large, each gets pivots of its own, fitted in parallel, and is dealt again.
 Inside a cell every random projection keeps one sorted array. A query opens a window around its own value in each array;
 vectors that fall into enough windows, and only these, are verified by their true similarity; unless the k best found
 lie within the current radius, the windows widen (virtual rehashing) and the vectors that then collide are verified too.
@@ -23,6 +23,9 @@ SAMPLE_VECTORS = 8_192
 MAX_PIVOTS = 2_048
 CELL_VECTORS = 1_000
 HELD_IN = 2
+#: Sampled vectors whose true neighbours, found by a scan, say in how many cells, MOST_CELLS at most, vectors must be held
+#: and asked about for this share of the neighbours to meet.
+MEASURED, MOST_CELLS, COVERAGE = 128, 16, 0.98
 #: A cell of more than FINER times CELL_VECTORS gets pivots of its own; its vectors are dealt in tasks of DEALT_AT_ONCE.
 FINER, DEALT_AT_ONCE = 4, 20_000
 PROJECTIONS = 250
@@ -128,7 +131,31 @@ def search_cell(vectors: np.ndarray, asked: np.ndarray, k: int, lines: np.ndarra
         yield own[q[kept]], c[kept], similar[kept], len(q)
 
 
-def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 1024, min_similarity: float = -1.0, held_in: int = HELD_IN, cell_vectors: int = CELL_VECTORS, sample_vectors: int = SAMPLE_VECTORS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def top_pivots(points: np.ndarray, pivots: np.ndarray, n: int) -> np.ndarray:
+    """The nearest n pivots of each point, the nearest first."""
+    n = min(n, len(pivots))
+    far = -(points @ pivots.T)
+    some = np.argpartition(far, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
+
+
+def _chunk(column: pa.ChunkedArray) -> pa.Array:
+    column = column.combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
+
+
+def copies_needed(asked: np.ndarray, held: np.ndarray, coverage: float = COVERAGE) -> tuple[int, int]:
+    """(held in, asked in): the fewest cells, by their product and then by those held in, so that this share of the pairs
+    meets; asked, held: for each pair, the nearest cells of the one and of the other. The greatest if none suffice."""
+    most = asked.shape[1]
+    if not len(asked):
+        return min(HELD_IN, most), 1
+    meet = asked[:, :, None] == held[:, None, :]
+    choices = sorted((h * a, h, a) for h in range(min(HELD_IN, most), most + 1) for a in range(1, h + 1))
+    return next(((h, a) for _, h, a in choices if meet[:, :a, :h].any(axis=(1, 2)).mean() >= coverage), (most, most))
+
+
+def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 1024, min_similarity: float = -1.0, held_in: int | None = None, asked_in: int = 1, cell_vectors: int = CELL_VECTORS, sample_vectors: int = SAMPLE_VECTORS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """(id, neighbour, similarity): the k most similar other vectors of each, by cosine, at least min_similarity.
 
     A vector is usable if it has dim elements, all finite and not all zero; other rows, and rows without an id, neither
@@ -136,33 +163,34 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     smallest ids, so that any number of copies costs the same; their rows each get a result. A row that repeats an id
     counts as one more copy, but an id is never its own neighbour. An empty table gives an empty result; other columns
     are ignored. Every usable vector is indexed and asked about; the pivots come from a sample of sample_vectors, and,
-    where cells would hold more than FINER times cell_vectors, from such a sample of each cell.
+    where cells would hold more than FINER times the vectors meant for them, from such a sample of each cell. Without
+    held_in, MEASURED sampled vectors are compared with all, and their true neighbours tell in how many cells vectors
+    are held and asked about; clustered vectors need HELD_IN and one, vectors without structure more, and some then part
+    all the same.
     Neighbours are found with high probability, not certainty: see the measured recall in the README.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
     rows = spread(rows.filter(F.size("v") == dim), "id")
+    hashed = rows.withColumn("h", F.xxhash64("v"))
     total = rows.count()
-    sample = bounded_sample(rows, "id", sample_vectors, total).select("v").toArrow().column("v").combine_chunks()
-    sample = unit(vectors_of(sample if isinstance(sample, pa.Array) else pa.concat_arrays(sample.chunks), dim)[1])
-    cells = int(np.clip(-(-total * held_in // cell_vectors), 1, max(1, min(max_pivots, len(sample) // 4))))
+    drawn = bounded_sample(rows, "id", sample_vectors, total).select("v", F.xxhash64("v").alias("h")).toArrow().combine_chunks()
+    usable, sample = vectors_of(_chunk(drawn.column("v")), dim)
+    sample, sample_h = unit(sample), drawn.column("h").to_numpy()[usable]
+    cells = int(np.clip(-(-total * HELD_IN // cell_vectors), 1, max(1, min(max_pivots, len(sample) // 4))))
     first_pivots = fit_pivots(sample, cells)
     cells = len(first_pivots)
-    held_at = np.argpartition(-(sample @ first_pivots.T), min(held_in, cells) - 1, axis=1)[:, : min(held_in, cells)] if len(sample) else np.zeros((0, 1), int)
+    shared = spark.sparkContext.broadcast(first_pivots)
+    if held_in is None:
+        held_in, asked_in = _measured(hashed, sample[:MEASURED], sample_h[:MEASURED], shared, k, dim, min_similarity) if cells > HELD_IN else (HELD_IN, 1)
+    held_at = top_pivots(sample, first_pivots, held_in) if len(sample) else np.zeros((0, 1), int)
     expected = np.bincount(held_at.ravel(), minlength=cells) * (total / max(1, len(sample)))
-    finer = bool((expected > FINER * cell_vectors).any())
+    meant = cell_vectors * max(1, held_in / HELD_IN)
+    finer = bool((expected > FINER * meant).any())
     tasks = np.maximum(1, np.ceil(expected / DEALT_AT_ONCE)).astype(np.int64)
-    shared = spark.sparkContext.broadcast(first_pivots)
     max_radius = float(np.sqrt(2 - 2 * min_similarity)) * (1 + 1e-6)
     held = k + 1
 
-    def nearest_pivots(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-        """The nearest held_in pivots of each point, the nearest first."""
-        n = min(held_in, len(pivots))
-        far = -(points @ pivots.T)
-        some = np.argpartition(far, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(some, np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable"), axis=1)
-
     def packed(raw: np.ndarray) -> pa.Array:
         return pa.FixedSizeBinaryArray.from_buffers(pa.binary(dim * 4), len(raw), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
 
@@ -186,25 +214,25 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
             at, raw, key = at[first], raw[first], key[first]
             if not len(at):
                 continue
-            cell = nearest_pivots(unit(raw), pivots)
+            cell = top_pivots(unit(raw), pivots, held_in)
             n = cell.shape[1]
             row = np.repeat(np.arange(len(at)), n)
             salt = key[row] % tasks[cell.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().astype(np.int64)), pa.array(salt.astype(np.int64)), pa.array(np.tile(np.arange(n) == 0, len(at))), batch.column("id").take(pa.array(at[row])), pa.array(key[row]), packed(raw).take(pa.array(row))], names=["cell", "salt", "home", "id", "h", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(cell.ravel().astype(np.int64)), pa.array(salt.astype(np.int64)), pa.array(np.tile(np.arange(n) < asked_in, len(at))), batch.column("id").take(pa.array(at[row])), pa.array(key[row]), packed(raw).take(pa.array(row))], names=["cell", "salt", "home", "id", "h", "v"])
 
     def fit_own(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = pa.Table.from_batches(list(parts))
         cell = key[0].as_py()
-        pivots = fit_pivots(unit(unpacked(part.column("v"))), int(np.clip(-(-expected[cell] * held_in // cell_vectors), 1, max(1, min(max_pivots, part.num_rows // 4)))))
+        pivots = fit_pivots(unit(unpacked(part.column("v"))), int(np.clip(-(-expected[cell] * HELD_IN // meant), 1, max(1, min(max_pivots, part.num_rows // 4)))))
         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pivots), cell)), pa.array(np.full(len(pivots), tasks[cell])), packed(pivots)], names=["cell", "tasks", "p"])
 
     def deal_again(own: pa.Table, fitted: pa.Table) -> pa.Table:
         pivots = unpacked(fitted.column("p")) if fitted.num_rows else np.zeros((1, dim), np.float32)
-        near = nearest_pivots(unit(unpacked(own.column("v"))), pivots) if own.num_rows else np.zeros((0, 1), np.int64)
+        near = top_pivots(unit(unpacked(own.column("v"))), pivots, held_in) if own.num_rows else np.zeros((0, 1), np.int64)
         row = pa.array(np.repeat(np.arange(own.num_rows), near.shape[1]))
-        nearest_one = pa.array(np.tile(np.arange(near.shape[1]) == 0, own.num_rows))
+        first = pa.array(np.tile(np.arange(near.shape[1]) < asked_in, own.num_rows))
         cell = own.column("cell").to_numpy()[row.to_numpy()] * (2 * max_pivots) + near.ravel()
-        home = pc.and_(own.column("home").take(row), nearest_one)
+        home = pc.and_(own.column("home").take(row), first)
         return pa.table([pa.array(cell.astype(np.int64)), home, *(own.column(c).take(row) for c in ("id", "h", "v"))], names=["cell", "home", "id", "h", "v"])
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +258,6 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
             use = exact >= min_similarity
             yield pa.RecordBatch.from_arrays([pa.array(h[q[use]]), pa.array(ids[c[use]], pa.string()), pa.array(exact[use])], names=["h", "neighbour", "similarity"])
 
-    hashed = rows.withColumn("h", F.xxhash64("v"))
     dealt = hashed.mapInArrow(deal, "cell bigint, salt bigint, home boolean, id string, h bigint, v binary")
     if finer:
         keep = (sample_vectors / np.maximum(expected, sample_vectors) * 2**63).astype(object)
@@ -247,6 +274,42 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     return ranked.select("id", "neighbour", "similarity")
 
 
+def _measured(hashed: DataFrame, asked: np.ndarray, asked_h: np.ndarray, shared, k: int, dim: int, min_similarity: float) -> tuple[int, int]:
+    """copies_needed() by the k true neighbours of the asked vectors; each task keeps its k most similar of each."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros((0, min(MOST_CELLS, len(shared.value))), np.int32))]
+        for batch in batches:
+            at, raw = vectors_of(batch.column("v"), dim)
+            if not len(at):
+                continue
+            points, h = unit(raw), batch.column("h").to_numpy()[at]
+            similar = asked @ points.T
+            similar[asked_h[:, None] == h[None, :]] = -2
+            some = np.argpartition(-similar, k - 1, axis=1)[:, :k] if len(at) > k else np.tile(np.arange(len(at)), (len(asked), 1))
+            value = np.take_along_axis(similar, some, axis=1)
+            q, n = np.nonzero(value >= max(min_similarity, -1.0))
+            c = some[q, n]
+            best.append((q, value[q, n], h[c], top_pivots(points[c], shared.value, MOST_CELLS).astype(np.int32)))
+            if sum(len(x[0]) for x in best) > 64 * k * max(1, len(asked)):
+                best = [_most_similar(best, k)]
+        q, value, h, cells = _most_similar(best, k)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(q) + 1) * cells.shape[1], pa.int32()), pa.array(cells.ravel()))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(value.astype(np.float64)), pa.array(h), lists], names=["q", "similarity", "h", "cells"])
+
+    found = hashed.select("v", "h").mapInArrow(scan, "q bigint, similarity double, h bigint, cells array<int>").dropDuplicates(["q", "h"])
+    near = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "h"))).filter(F.col("place") <= k).select("q", "cells").toPandas()
+    own = top_pivots(asked, shared.value, MOST_CELLS)
+    return copies_needed(own[near["q"].to_numpy()], np.array(near["cells"].to_list(), np.int64).reshape(len(near), own.shape[1]))
+
+
+def _most_similar(parts: list[tuple[np.ndarray, ...]], k: int) -> tuple[np.ndarray, ...]:
+    q, value, h, cells = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((-value, q))
+    place = np.arange(len(q)) - np.searchsorted(q[order], q[order], "left")
+    kept = order[place < k]
+    return q[kept], value[kept], h[kept], cells[kept]
+
+
 def pairs_of(neighbours: DataFrame) -> DataFrame:
     """(id_a, id_b), smaller id first: each pair in which one is among the other's neighbours, once."""
     return neighbours.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()

@@ -90,3 +90,20 @@ def test_collisions_count_windows():
         low, high = values[asked] - np.float32(half), values[asked] + np.float32(half)
         want = ((values[None] >= low[:, None]) & (values[None] <= high[:, None])).sum(axis=2)
         assert np.abs(arrays.collisions(asked, np.float32(half)).astype(int) - want).max() <= 1
+
+
+def test_copies_needed_are_the_fewest_that_cover():
+    asked, held = np.array([[0, 1, 2], [3, 4, 5], [6, 7, 8]]), np.array([[1, 0, 2], [3, 9, 9], [9, 9, 7]])
+    assert knn.copies_needed(asked, held, 0.6) == (2, 1) and knn.copies_needed(asked, held, 1.0) == (3, 2)
+    assert knn.copies_needed(np.array([[0, 1]]), np.array([[2, 3]])) == (2, 2) and knn.copies_needed(asked[:0], held[:0]) == (2, 1)
+
+
+def test_vectors_without_structure_are_held_in_more_cells(spark):
+    rng = np.random.default_rng(8)
+    rows = clustered(rng, 400, 4, 0.6)
+    want = brute(rows, 3, 0.6)
+    found = {}
+    for name, kw in (("fixed", {"held_in": 2}), ("measured", {})):
+        got = {(r.id, r.neighbour) for r in knn.nearest(table(spark, rows), 3, dim=DIM, min_similarity=0.6, cell_vectors=20, **kw).collect()}
+        found[name] = len(got & want) / len(want)
+    assert found["fixed"] < 0.85 and found["measured"] >= 0.9
