@@ -317,6 +317,7 @@ def assigned(scored: DataFrame, *, bid: float = BID) -> DataFrame:
         fresh = staged(won, "bids")
         if fresh.isEmpty():
             discarded(fresh)
+            discarded(pairs)
             return owners.select("citation_id", "work_id", "confidence")
         after = staged(owners.join(fresh.select("work_id"), "work_id", "left_anti").unionByName(fresh), "owners")
         discarded(owners)

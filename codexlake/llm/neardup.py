@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codexlake.runtime import spread, staged
+from codexlake.runtime import discarded, spread, staged
 
 WORD = re.compile(r"[^\W_]+")
 WORD_MEMO = 1_000_000
@@ -134,7 +134,7 @@ def _and_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | Non
 
 
 def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
-    """(node, other), node < other, once each: the nodes that share a band and whose sizes allow the threshold.
+    """A staged table (node, other), node < other, once each: the nodes that share a band and whose sizes allow the threshold.
 
     buckets: (node, n, band). One exchange brings equal bands together; bands of more than `block` nodes leave their
     task unpaired and are dealt to pairs of blocks, so that no task holds more than two blocks of one band.
@@ -146,7 +146,9 @@ def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
     near = met.filter("n IS NULL").select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
     hot = met.filter("n IS NOT NULL").select(F.col("b").alias("band"), F.col("a").alias("node"), "n")
     if hot.isEmpty():
-        return near.distinct()
+        found = staged(near.distinct(), "candidates")
+        discarded(met)
+        return found
     blocks = hot.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
     dealt = hot.join(blocks, "band").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -161,7 +163,9 @@ def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
 
     far = dealt.groupBy("cell").applyInArrow(across, "node bigint, other bigint")
-    return near.unionByName(far).distinct()
+    found = staged(near.unionByName(far).distinct(), "candidates")
+    discarded(met)
+    return found
 
 
 def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS) -> tuple[DataFrame, DataFrame]:
@@ -199,7 +203,7 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
     members = signed.select("field", "id", "content").distinct().join(classes.select("field", "content", "class_id"), ["field", "content"]).select("field", "id", "class_id")
     heads = classes.withColumn("node", F.xxhash64("field", "class_id"))
     buckets = heads.select("node", "n", F.explode("bands").alias("band"), "field").select("node", "n", F.xxhash64("field", "band").alias("band"))
-    near = staged(_candidates(buckets, threshold, block_texts), "candidates")
+    near = _candidates(buckets, threshold, block_texts)
 
     wanted = near.select("node").union(near.select("other")).distinct()
     wanted = staged(heads.select("field", F.col("class_id").alias("id"), "node").join(wanted, "node", "left_semi"), "wanted")
@@ -252,7 +256,9 @@ def groups_of(members: DataFrame, links: DataFrame) -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("field", "u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before, now = state, staged(star(star(now, True), False), "edges")
+        before, older = state, now
+        now = staged(star(star(now, True), False), "edges")
+        discarded(older)
     roots = now.groupBy("field", "u").agg(F.min("v").alias("group_id"))
     named = members.join(roots.withColumnRenamed("u", "class_id"), ["field", "class_id"], "left").join(degree.withColumnsRenamed({"u": "class_id", "count": "n_links"}), ["field", "class_id"], "left")
     return named.select("field", "id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
