@@ -10,6 +10,11 @@ from codexlake.operators.mutations import update, upsert
 from codexlake.schema import NOTES
 
 
+def today_utc() -> Column:
+    """The current date in UTC, whatever the session's time zone."""
+    return F.to_date(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()))
+
+
 def head(queue: DataFrame, status: str = "pending", limit: int = 1) -> DataFrame:
     """The waiting rows of highest priority, the oldest of equals."""
     return page(queue.filter(F.col("status") == status), (F.desc("priority"), "id"), limit)

@@ -16,7 +16,7 @@ from .registry import query, with_views
 
 @query("SELECT entity_type, count(*) AS n FROM entities WHERE status = 'published' GROUP BY 1")
 def type_catalog_counts(c: Corpus) -> DataFrame:
-    return aggregates.counts(c.published, "entity_type")
+    return aggregates.counts(c.published, "entity_type").orderBy(F.desc("n"), "entity_type")
 
 
 @query(with_views("published", "topics") + "SELECT topic, count(*) AS n FROM topics WHERE entity_id IN (SELECT id FROM published) GROUP BY 1 ORDER BY n DESC, topic LIMIT 200")

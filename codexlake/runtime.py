@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import re
+import shutil
 import tempfile
 import uuid
 
@@ -28,15 +29,17 @@ def shared_dir(spark: SparkSession) -> str:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="codexlake-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(configured)
     return configured.rstrip("/")
 
 
 def file_system(spark: SparkSession, path: str):
     """(file system, path) of Hadoop for a path, as the JVM's objects."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    settings = context._jsc.hadoopConfiguration() if context._jsc else context._jvm.org.apache.hadoop.conf.Configuration()
+    return target.getFileSystem(settings), target
 
 
 _STAGED: dict[DataFrame, str] = {}

@@ -36,6 +36,32 @@ def served(df: DataFrame, column: str, service: Callable[[], Service], name: str
     return df.mapInArrow(ask, out.schema)
 
 
+def resilient(primary: Callable[[], Service], fallback: Callable[[], Service] | None = None, tries: int = 3, pause: Callable[[int], None] | None = None) -> Callable[[], Service]:
+    """A service that is asked up to `tries` times, after pause(attempt) if given, and then the fallback, once.
+
+    An error of the last resort goes on to the task. Both clients are made at most once for each task, the fallback only
+    when it is needed.
+    """
+    def make() -> Service:
+        clients: dict[str, Service] = {}
+
+        def answer(texts: list[str | None]) -> list:
+            for attempt in range(tries):
+                try:
+                    return clients.setdefault("primary", clients.get("primary") or primary())(texts)
+                except Exception:  # noqa: BLE001  whatever the client raises
+                    if attempt + 1 < tries:
+                        if pause is not None:
+                            pause(attempt)
+                    elif fallback is None:
+                        raise
+            return clients.setdefault("fallback", clients.get("fallback") or fallback())(texts)
+
+        return answer
+
+    return make
+
+
 def stub_vectors(dim: int) -> Callable[[], Service]:
     """Unit vectors that depend on the text alone; null for null."""
 

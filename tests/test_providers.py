@@ -22,3 +22,33 @@ def test_a_service_has_to_answer_every_question(spark):
     df = spark.createDataFrame([(1, "a")], "id int, text string")
     with pytest.raises(Exception, match="0 answers to 1"):
         providers.served(df, "text", lambda: lambda texts: [], "v", "string").collect()
+
+
+def test_a_service_is_asked_again_and_then_its_fallback(spark):
+    calls = []
+
+    def flaky(fails):
+        def make():
+            def answer(texts):
+                calls.append(len(texts))
+                if len(calls) <= fails:
+                    raise ConnectionError("busy")
+                return [f"first {t}" for t in texts]
+
+            return answer
+
+        return make
+
+    def second():
+        return lambda texts: [f"second {t}" for t in texts]
+
+    pauses = []
+    assert providers.resilient(flaky(2), second, pause=pauses.append)()(["a"]) == ["first a"] and pauses == [0, 1]
+    calls.clear()
+    assert providers.resilient(flaky(9), second, tries=2)()(["a"]) == ["second a"] and len(calls) == 2
+    calls.clear()
+    with pytest.raises(ConnectionError):
+        providers.resilient(flaky(9))()(["a"])
+    table = spark.createDataFrame([("x",), (None,)], "t string")
+    got = providers.served(table, "t", providers.resilient(lambda: (lambda texts: 1 / 0), second), "answer", "string").collect()
+    assert {(r.t, r.answer) for r in got} == {("x", "second x"), (None, "second None")}

@@ -118,3 +118,14 @@ def test_nested_texts_are_cleaned(spark):
 def test_labels_and_url_components(spark):
     row = spark.range(1).select(labels.looked_up(F.lit("place"), labels.TYPE_LABELS), labels.looked_up(F.lit("dragon"), labels.TYPE_LABELS), labels.fixed(F.lit(1234.5), 2), labels.fixed(F.lit(None).cast("double"), 2), labels.percent(F.lit(0.375), 1), text.url_encoded(F.lit("a b/ü+")), text.url_decoded(F.lit("a%20b%2F%C3%BC+")), text.url_decoded(F.lit("%zz"))).first()
     assert tuple(row) == ("Places", None, "1234.50", None, "37.5%", "a%20b%2F%C3%BC%2B", "a b/ü+", None)
+
+
+def test_today_is_that_of_utc(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for name in ("Pacific/Kiritimati", "Pacific/Niue", "UTC"):
+            spark.conf.set("spark.sql.session.timeZone", name)
+            before = dt.datetime.now(dt.timezone.utc).date()
+            assert before <= spark.range(1).select(queues.today_utc()).first()[0] <= dt.datetime.now(dt.timezone.utc).date()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
