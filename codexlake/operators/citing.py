@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codexlake.functions import scoring, text
+from codexlake.runtime import staged
 
 # The shares of common words from which a match is strong or weak.
 STRONG, WEAK = 0.6, 0.45
@@ -40,6 +41,7 @@ def overlaps(claims: DataFrame, titles: DataFrame) -> DataFrame:
     meetings = often.join(held.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df")), "word").select("word", (F.col("cf") * F.col("df")).alias("met"))
     left = _places(asked, "claim", meetings).withColumn("salt", F.pmod(F.xxhash64("claim"), F.col("salts")).cast("int")).drop("salts").withColumnsRenamed({"n": "a", "rare": "rare_a"})
     right = _places(held, "title", meetings).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts").withColumnsRenamed({"n": "b", "rare": "rare_b"})
+    left, right = staged(left, "claim-words"), staged(right, "title-words")
     one = left.filter("rare_a").join(right, ["word", "salt"]).filter("a <= b")
     two = left.join(right.filter("rare_b"), ["word", "salt"]).filter("a > b")
     met = one.select("claim", "title").unionByName(two.select("claim", "title")).distinct()
@@ -55,9 +57,10 @@ def candidates(citations: DataFrame, works: DataFrame) -> DataFrame:
     def worded(df: DataFrame, of: str, name: str) -> DataFrame:
         return df.withColumn(name, F.array_join(F.sort_array(text.significant_words(F.col(of))), " ")).filter(F.col(name) != "")
 
-    works, cited = worded(works, "title", "words"), worded(citations, "claimed_source", "claim")
+    works = staged(worded(works, "title", "words").select("work_id", "words", "author_families"), "works")
+    cited = staged(worded(citations, "claimed_source", "claim").select("id", "claim", "claimed_author"), "cited")
     near = overlaps(cited.select("claim").distinct(), works.select(F.col("words").alias("title")).distinct()).withColumnRenamed("title", "words")
-    return near.join(cited.select("id", "claim", "claimed_author"), "claim").join(works.select("work_id", "words", "author_families"), "words")
+    return near.join(cited, "claim").join(works, "words")
 
 
 def best_of_source(citations: DataFrame, works: DataFrame) -> DataFrame:
