@@ -155,7 +155,7 @@ def copies_needed(asked: np.ndarray, held: np.ndarray, coverage: float = COVERAG
     return next(((h, a) for _, h, a in choices if meet[:, :a, :h].any(axis=(1, 2)).mean() >= coverage), (most, most))
 
 
-def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 1024, min_similarity: float = -1.0, held_in: int | None = None, asked_in: int = 1, cell_vectors: int = CELL_VECTORS, sample_vectors: int = SAMPLE_VECTORS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str = "embedding", dim: int = 1024, min_similarity: float = -1.0, held_in: int | None = None, asked_in: int = 1, cell_vectors: int = CELL_VECTORS, sample_vectors: int = SAMPLE_VECTORS, max_pivots: int = MAX_PIVOTS, most_cells: int = MOST_CELLS) -> DataFrame:
     """(id, neighbour, similarity): the k most similar other vectors of each, by cosine, at least min_similarity.
 
     A vector is usable if it has dim elements, all finite and not all zero; other rows, and rows without an id, neither
@@ -165,8 +165,8 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     are ignored. Every usable vector is indexed and asked about; the pivots come from a sample of sample_vectors, and,
     where cells would hold more than FINER times the vectors meant for them, from such a sample of each cell. Without
     held_in, MEASURED sampled vectors are compared with all, and their true neighbours tell in how many cells vectors
-    are held and asked about; clustered vectors need HELD_IN and one, vectors without structure more, and some then part
-    all the same.
+    are held and asked about, most_cells at most; clustered vectors need HELD_IN and one, vectors without structure more,
+    and some then part all the same.
     Neighbours are found with high probability, not certainty: see the measured recall in the README.
     """
     spark = vectors.sparkSession
@@ -182,7 +182,7 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     cells = len(first_pivots)
     shared = spark.sparkContext.broadcast(first_pivots)
     if held_in is None:
-        held_in, asked_in = _measured(hashed, sample[:MEASURED], sample_h[:MEASURED], shared, k, dim, min_similarity) if cells > HELD_IN else (HELD_IN, 1)
+        held_in, asked_in = _measured(hashed, sample[:MEASURED], sample_h[:MEASURED], shared, k, dim, min_similarity, most_cells) if cells > HELD_IN else (HELD_IN, 1)
     held_at = top_pivots(sample, first_pivots, held_in) if len(sample) else np.zeros((0, 1), int)
     expected = np.bincount(held_at.ravel(), minlength=cells) * (total / max(1, len(sample)))
     meant = cell_vectors * max(1, held_in / HELD_IN)
@@ -274,10 +274,10 @@ def nearest(vectors: DataFrame, k: int, *, id_col: str = "id", vector_col: str =
     return ranked.select("id", "neighbour", "similarity")
 
 
-def _measured(hashed: DataFrame, asked: np.ndarray, asked_h: np.ndarray, shared, k: int, dim: int, min_similarity: float) -> tuple[int, int]:
+def _measured(hashed: DataFrame, asked: np.ndarray, asked_h: np.ndarray, shared, k: int, dim: int, min_similarity: float, most_cells: int) -> tuple[int, int]:
     """copies_needed() by the k true neighbours of the asked vectors; each task keeps its k most similar of each."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros((0, min(MOST_CELLS, len(shared.value))), np.int32))]
+        best = [(np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64), np.zeros((0, min(most_cells, len(shared.value))), np.int32))]
         for batch in batches:
             at, raw = vectors_of(batch.column("v"), dim)
             if not len(at):
@@ -289,7 +289,7 @@ def _measured(hashed: DataFrame, asked: np.ndarray, asked_h: np.ndarray, shared,
             value = np.take_along_axis(similar, some, axis=1)
             q, n = np.nonzero(value >= max(min_similarity, -1.0))
             c = some[q, n]
-            best.append((q, value[q, n], h[c], top_pivots(points[c], shared.value, MOST_CELLS).astype(np.int32)))
+            best.append((q, value[q, n], h[c], top_pivots(points[c], shared.value, most_cells).astype(np.int32)))
             if sum(len(x[0]) for x in best) > 64 * k * max(1, len(asked)):
                 best = [_most_similar(best, k)]
         q, value, h, cells = _most_similar(best, k)
@@ -298,7 +298,7 @@ def _measured(hashed: DataFrame, asked: np.ndarray, asked_h: np.ndarray, shared,
 
     found = hashed.select("v", "h").mapInArrow(scan, "q bigint, similarity double, h bigint, cells array<int>").dropDuplicates(["q", "h"])
     near = found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "h"))).filter(F.col("place") <= k).select("q", "cells").toPandas()
-    own = top_pivots(asked, shared.value, MOST_CELLS)
+    own = top_pivots(asked, shared.value, most_cells)
     return copies_needed(own[near["q"].to_numpy()], np.array(near["cells"].to_list(), np.int64).reshape(len(near), own.shape[1]))
 
 
