@@ -1,11 +1,13 @@
 """Near-duplicate texts: circulant MinHash, banding, exact Jaccard verification, and the groups that links form."""
 
+import math
 import re
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +22,13 @@ SLOTS = 1 << 20
 BANDS, ROWS = 112, 4
 #: A band that more texts share is dealt to pairs of blocks of about so many texts, each pair of blocks a task's work.
 BLOCK_TEXTS = 512
+#: Rows of bands exchanged at once, as long as that takes no more rounds than these.
+BAND_ROWS, BAND_ROUNDS = 16_000_000, 8
+#: Pairs that carry bitmaps, and pairs that carry shingle sets, at once: so many, or so many a class if that is more, as
+#: long as that takes no more rounds than these.
+PAIRS_AT_ONCE, PAIRS_A_CLASS, PAIR_ROUNDS = (1_000_000, 50_000), (4, 0.25), 64
+#: Places of a bitmap of values to fetch.
+MARKS = 1 << 20
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0xBF58476D1CE4E5B9))
 
@@ -84,6 +93,25 @@ def band_keys(slots: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mixed.view(np.int64)
 
 
+def bitmap(hashes: np.ndarray) -> bytes:
+    """The low bits of the hashes, marked in 4 to 8 bits a hash, a power of two in all."""
+    size = 1 << max(6, (4 * len(hashes) - 1).bit_length())
+    marks = np.zeros(size, bool)
+    marks[(hashes & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def most_shared(n_a: np.ndarray, n_b: np.ndarray, bits_a: np.ndarray, bits_b: np.ndarray) -> np.ndarray:
+    """No pair of sets shares more hashes than this: each place at which their bitmaps, rows of bytes, differ takes a hash
+    that only one has. A longer bitmap is folded to the length of the other."""
+    while bits_a.shape[1] != bits_b.shape[1]:
+        if bits_a.shape[1] < bits_b.shape[1]:
+            bits_a, bits_b = bits_b, bits_a
+        half = bits_a.shape[1] // 2
+        bits_a = bits_a[:, :half] | bits_a[:, half:]
+    return (n_a + n_b - np.bitwise_count(bits_a ^ bits_b).sum(axis=1, dtype=np.int64)) // 2
+
+
 def _fields(texts: DataFrame, id_col: str, fields: tuple[str, ...]) -> DataFrame:
     """(field, id, text), a row for each field of each row that has an id and a text."""
     rows = F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("text")) for f in fields)))
@@ -142,11 +170,11 @@ def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _runs_to_pairs(batches, threshold, block)
 
-    met = staged(buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(pair, "a bigint, b bigint, n bigint"), "bands")
+    met = staged(buckets.repartition("band").sortWithinPartitions("band", "node").mapInArrow(pair, "a bigint, b bigint, n bigint"), "bands", free=True)
     near = met.filter("n IS NULL").select(F.least("a", "b").alias("node"), F.greatest("a", "b").alias("other"))
     hot = met.filter("n IS NOT NULL").select(F.col("b").alias("band"), F.col("a").alias("node"), "n")
     if hot.isEmpty():
-        found = staged(near.distinct(), "candidates")
+        found = staged(near.distinct(), "candidates", free=True)
         discarded(met)
         return found
     blocks = hot.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("blocks"))
@@ -163,12 +191,74 @@ def _candidates(buckets: DataFrame, threshold: float, block: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j]))], names=["node", "other"])
 
     far = dealt.groupBy("cell").applyInArrow(across, "node bigint, other bigint")
-    found = staged(near.unionByName(far).distinct(), "candidates")
+    found = staged(near.unionByName(far).distinct(), "candidates", free=True)
     discarded(met)
     return found
 
 
-def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS) -> tuple[DataFrame, DataFrame]:
+def _in_rounds(pairs: DataFrame, rounds: int, label: str, step: Callable[[DataFrame, Callable[[DataFrame], DataFrame]], DataFrame]) -> DataFrame:
+    """A staged table of what the step makes of the pairs of each round, dealt by node. The step gets the pairs of a round
+    and what leaves of a table by node those of the round."""
+    made = []
+    for r in range(rounds):
+        def own(df: DataFrame, r: int = r) -> DataFrame:
+            return df if rounds == 1 else df.filter(F.pmod(F.xxhash64(F.lit("round"), "node"), F.lit(rounds)) == r)
+
+        made.append(staged(step(own(pairs), own), label, free=True))
+    return _joined(made, label)
+
+
+def _joined(made: list[DataFrame], label: str, *, distinct: bool = False) -> DataFrame:
+    """One staged table of staged tables, which are deleted."""
+    if len(made) == 1:
+        return made[0]
+    whole = reduce(DataFrame.unionByName, made)
+    whole = staged(whole.distinct() if distinct else whole, label, free=True)
+    for part in made:
+        discarded(part)
+    return whole
+
+
+def _rounds(pairs: int, at_once: float) -> int:
+    return min(PAIR_ROUNDS, max(1, math.ceil(pairs / at_once)))
+
+
+def _not_ruled_out(pairs: DataFrame, heads: DataFrame, threshold: float, rounds: int) -> DataFrame:
+    """A staged table of the pairs (node, other) whose bitmaps allow the threshold. heads: (node, n, bits)."""
+    def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (n_a, n_b), (a, b) = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "m")), (batch.column(c) for c in ("bits", "of"))
+            long = [pc.binary_length(x).to_numpy().astype(np.int64) for x in (a, b)]
+            keep = np.zeros(len(batch), bool)
+            for key in np.unique(long[0] << 32 | long[1]).tolist():
+                at = np.flatnonzero((long[0] == key >> 32) & (long[1] == key & 0xFFFFFFFF))
+                for at in np.array_split(at, math.ceil(len(at) * (key >> 32) / 2**24)):
+                    rows = [np.frombuffer(b"".join(x.take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1) for x in (a, b)]
+                    shared = most_shared(n_a[at], n_b[at], *rows)
+                    keep[at] = shared >= threshold * (n_a[at] + n_b[at] - shared)
+            yield batch.select(["node", "other"]).filter(pa.array(keep))
+
+    other = heads.select(F.col("node").alias("other"), F.col("n").alias("m"), F.col("bits").alias("of"))
+    return _in_rounds(pairs, rounds, "close", lambda of_round, own: of_round.join(own(heads), "node").join(other, "other").select("node", "other", "n", "m", "bits", "of").mapInArrow(allowed, "node bigint, other bigint"))
+
+
+def _likely(source: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The values of the source whose field and id are wanted, and some others: what a bitmap of the wanted tells apart
+    before anything is shuffled."""
+    place = F.pmod(F.xxhash64("field", "id"), F.lit(MARKS)).cast("int").alias("place")
+    marks = np.zeros(MARKS, bool)
+    marks[wanted.select(place).distinct().toArrow().column(0).to_numpy()] = True
+    packed = np.packbits(marks).tobytes()
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.unpackbits(np.frombuffer(packed, np.uint8)).astype(bool)
+        for batch in batches:
+            yield batch.filter(pa.array(marks[batch.column("place").to_numpy()])).select(["field", "id", "text"])
+
+    return source.select("field", "id", "text", place).mapInArrow(marked, "field string, id string, text string")
+
+
+def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *, words: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, block_texts: int = BLOCK_TEXTS, band_rows: int = BAND_ROWS, pairs_at_once: tuple[int, int] = PAIRS_AT_ONCE) -> tuple[DataFrame, DataFrame]:
     """(members, links) of near-duplicate texts within each field.
 
     members: (field, id, class_id), a row for each value that has a shingle; values with the same shingles form a class,
@@ -184,7 +274,7 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, key, many, keys = [], [], [], []
+            at, key, many, keys, bits = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):
                 hashes = shingles(text, words)
                 if not len(hashes):
@@ -193,20 +283,33 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
                 key.append(xxhash.xxh3_128_hexdigest(hashes.tobytes()))
                 many.append(len(hashes))
                 keys.append(band_keys(slots_of(hashes), bands, rows))
+                bits.append(bitmap(hashes))
             sizes = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             rows_at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("field").take(rows_at), batch.column("id").take(rows_at), pa.array(key, pa.string()), pa.array(many, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["field", "id", "content", "n", "bands"])
-
-    signed = staged(source.mapInArrow(sign, "field string, id string, content string, n int, bands array<bigint>"), "signatures")
-    classes = signed.groupBy("field", "content").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    members = signed.select("field", "id", "content").distinct().join(classes.select("field", "content", "class_id"), ["field", "content"]).select("field", "id", "class_id")
-    heads = classes.withColumn("node", F.xxhash64("field", "class_id"))
-    buckets = heads.select("node", "n", F.explode("bands").alias("band"), "field").select("node", "n", F.xxhash64("field", "band").alias("band"))
-    near = _candidates(buckets, threshold, block_texts)
-
-    wanted = near.select("node").union(near.select("other")).distinct()
-    wanted = staged(heads.select("field", F.col("class_id").alias("id"), "node").join(wanted, "node", "left_semi"), "wanted")
+            yield pa.RecordBatch.from_arrays([batch.column("field").take(rows_at), batch.column("id").take(rows_at), pa.array(key, pa.string()), pa.array(many, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat)), pa.array(bits, pa.binary())], names=["field", "id", "content", "n", "bands", "bits"])
+
+    signed = staged(source.mapInArrow(sign, "field string, id string, content string, n int, bands array<bigint>, bits binary"), "signatures", free=True)
+    heads = signed.groupBy("field", "content").agg(F.min("id").alias("class_id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    heads = staged(heads.withColumn("node", F.xxhash64("field", "class_id")), "classes", free=True)
+    members = staged(signed.select("field", "id", "content").distinct().join(heads.select("field", "content", "class_id"), ["field", "content"]).select("field", "id", "class_id"), "members", free=True)
+    discarded(signed)
+
+    classes = heads.count()
+    rounds = min(BAND_ROUNDS, bands, max(1, math.ceil(classes * bands / band_rows)))
+    found = []
+    for r in range(rounds):
+        first, last = bands * r // rounds, bands * (r + 1) // rounds
+        buckets = heads.select("node", "n", "field", F.explode(F.slice("bands", first + 1, last - first)).alias("band"))
+        found.append(_candidates(buckets.select("node", "n", F.xxhash64("field", "band").alias("band")), threshold, block_texts))
+    near = _joined(found, "candidates", distinct=True)
+    of_bits, of_sets = (max(1, least, each * classes) for least, each in zip(pairs_at_once, PAIRS_A_CLASS))
+    close = _not_ruled_out(near, heads.select("node", "n", "bits"), threshold, _rounds(near.count(), of_bits))
+    discarded(near)
+
+    wanted = close.select("node").union(close.select("other")).distinct()
+    wanted = staged(heads.select("field", F.col("class_id").alias("id"), "node").join(wanted, "node", "left_semi"), "wanted", free=True)
+    discarded(heads)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,13 +318,22 @@ def classes_and_links(texts: DataFrame, id_col: str, fields: tuple[str, ...], *,
             lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(own) if own else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("field"), batch.column("id"), lists], names=["node", "field", "id", "set"])
 
-    contents = source.join(wanted, ["field", "id"]).select("node", "field", "id", "text").mapInArrow(sets, "node bigint, field string, id string, set array<bigint>").dropDuplicates(["node"])
-    a = contents.select("node", "field", F.col("id").alias("a"), F.col("set").alias("sa"))
+    contents = _likely(source, wanted).join(wanted, ["field", "id"]).dropDuplicates(["field", "id"]).select("node", "field", "id", "text")
+    contents = staged(contents.mapInArrow(sets, "node bigint, field string, id string, set array<bigint>"), "sets", free=True)
+    discarded(wanted)
     b = contents.select(F.col("node").alias("other"), F.col("field").alias("of"), F.col("id").alias("b"), F.col("set").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    links = near.join(a, "node").join(b, "other").filter("field = of").select("field", F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
-    links = links.withColumn("jaccard", F.col("both") / (F.col("sum") - F.col("both"))).filter(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
-    return members, links.select("field", "class_a", "class_b", "jaccard")
+
+    def verified(pairs: DataFrame, own: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        a = own(contents).select("node", "field", F.col("id").alias("a"), F.col("set").alias("sa"))
+        links = pairs.join(a, "node").join(b, "other").filter("field = of").select("field", F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), both.alias("both"), (F.size("sa") + F.size("sb")).alias("sum"))
+        links = links.withColumn("jaccard", F.col("both") / (F.col("sum") - F.col("both"))).filter(F.col("both") >= F.lit(threshold) * (F.col("sum") - F.col("both")))
+        return links.select("field", "class_a", "class_b", "jaccard")
+
+    links = _in_rounds(close, _rounds(close.count(), of_sets), "links", verified)
+    discarded(contents)
+    discarded(close)
+    return members, links
 
 
 def pairs_of(members: DataFrame, links: DataFrame) -> DataFrame:

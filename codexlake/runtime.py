@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,14 +47,27 @@ def file_system(spark: SparkSession, path: str):
 _STAGED: dict[DataFrame, str] = {}
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """What runs inside leaves no shuffle files, which else stay until the driver happens to collect its garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def staged(df: DataFrame, label: str, *, free: bool = False) -> DataFrame:
     """df written once as a table in the shared folder and read back: cuts the lineage and survives lost executors.
 
-    The table stays until discarded() or release(), or until Python ends.
+    The table stays until discarded() or release(), or until Python ends. free: its shuffle files go once it is written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_freed(spark) if free else contextlib.nullcontext():
+        df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     _STAGED[back] = path
     return back

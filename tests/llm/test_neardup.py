@@ -128,3 +128,26 @@ def test_defaults_and_empty(spark):
     rows = [("a", "one two three four five six", None), ("b", "ONE two three four five six.", None), ("c", "one two three four", None)]
     members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative", "summary"))
     assert {(r.id, r.class_id) for r in members.collect()} == {("a", "a"), ("b", "a")} and links.collect() == []
+
+
+def test_rounds_give_the_same_links(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{x}" for x in rng.integers(0, 10_000, 120)]
+    rows = [(f"f{j:02}", edited(rng, words, 2), None) for j in range(30)] + [(f"x{j}", edited(rng, [f"w{x}" for x in rng.integers(0, 10_000, 120)], 0), None) for j in range(10)]
+    members, links = neardup.classes_and_links(table(spark, rows), "id", ("narrative",), words=3, threshold=0.5, band_rows=2000, pairs_at_once=(200, 150))
+    got = [tuple(r) for r in neardup.pairs_of(members, links).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 3, 0.5)
+
+
+def test_bitmaps_never_rule_out_a_pair_that_shares_enough():
+    rng = np.random.default_rng(6)
+    for n in (1, 3, 16, 17, 90, 700):
+        for share in (0.0, 0.2, 0.6, 1.0):
+            for m in (n, 2 * n, 5 * n):
+                common = rng.integers(0, 2**63, int(share * n)).astype(np.uint64)
+                x, y = (np.unique(np.concatenate((common, rng.integers(0, 2**63, k - len(common)).astype(np.uint64)))) for k in (n, m))
+                bits = [np.frombuffer(neardup.bitmap(z), np.uint8)[None] for z in (x, y)]
+                most = neardup.most_shared(np.array([len(x)]), np.array([len(y)]), *bits)[0]
+                assert len(np.intersect1d(x, y)) <= most <= (len(x) + len(y)) // 2
+    x, y = (np.unique(rng.integers(0, 2**63, 500).astype(np.uint64)) for _ in range(2))
+    assert neardup.most_shared(np.array([500]), np.array([500]), *(np.frombuffer(neardup.bitmap(z), np.uint8)[None] for z in (x, y)))[0] < 0.5 * 1000 / 1.5

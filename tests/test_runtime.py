@@ -1,4 +1,5 @@
 import os
+import time
 from types import SimpleNamespace
 
 import pytest
@@ -30,6 +31,22 @@ def test_staged_tables_are_deleted(spark):
     assert runtime.release(spark) >= 1 and not os.path.exists(paths[1]) and runtime.release(spark) == 0
 
 
+def test_staged_tables_leave_no_shuffle_files(spark):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    setting = spark.conf.get(key, None)
+
+    def files():
+        return {name for name in (disk.getAllFiles().apply(i).getName() for i in range(disk.getAllFiles().size())) if name.startswith("shuffle_")}
+
+    before = files()
+    df = runtime.staged(spark.range(1000).repartition("id"), "numbers", free=True)
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and df.count() == 1000 and spark.conf.get(key, None) == setting
+
+
 def test_samples_are_bounded(spark):
     many = spark.range(20_000).selectExpr("id", "0 AS one")
     assert 100 < runtime.bounded_sample(many, "id", 500, 20_000).count() <= 1000
